@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.labels import canonical_id, cell_names, is_untyped, strip
+from weft.functions.labels import BLANKS, bare_label, canonical_id, cell_names, is_untyped_bare, strip
 from weft.operators.hot_keys import skewed_key_stats
 from weft.operators.orphans import orphan_references, orphan_report
 from weft.operators.topn import strongest_partners
@@ -18,10 +18,11 @@ def p2_type_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Untyped values of a side form one group whose type is null.
     """
-    net = network(spark, sf_dir)
-    kind = lambda c: F.when(~is_untyped(F.col(c)), strip(F.col(c)))
-    sides = {"pre": (kind("type_pre"), canonical_id(F.col("bodyId_post"))), "post": (kind("type_post"), canonical_id(F.col("bodyId_pre")))}
-    return skewed_key_stats(net, sides, F.col("weight")).select("side", F.col("key").alias("type"), "n_rows", F.col("total").alias("sum_weight"), "n_partners", F.col("median").alias("median_weight"))
+    net = network(spark, sf_dir).select("weight", "type_pre", "type_post", canonical_id(F.col("bodyId_pre")).alias("pre"), canonical_id(F.col("bodyId_post")).alias("post"))
+    bare = net.withColumns({"bare_pre": bare_label(F.col("type_pre")), "bare_post": bare_label(F.col("type_post"))})
+    kind = lambda s: F.when(~is_untyped_bare(F.col(f"bare_{s}")), strip(F.col(f"type_{s}")))
+    sides = {"pre": (kind("pre"), F.col("post")), "post": (kind("post"), F.col("pre"))}
+    return skewed_key_stats(bare, sides, F.col("weight")).select("side", F.col("key").alias("type"), "n_rows", F.col("total").alias("sum_weight"), "n_partners", F.col("median").alias("median_weight"))
 
 
 def _network_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,18 +71,22 @@ def _strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_type_stats, p4_found, p4_report, p6_found, p6_ranked)}
 
 
+def _sql_strip(c: str) -> str:
+    return f"trim({c}, '{BLANKS}')"
+
+
 def sql_canonical(c: str) -> str:
     """DuckDB text of the canonical id of column ``c``."""
-    t = rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+    t = _sql_strip(c)
     d = rf"ltrim(regexp_replace({t}, '^([0-9]+)\.0+$', '\1'), '0')"
     return f"case when {t} = '' then null when {d} = '' then '0' when regexp_matches({d}, '^[0-9]{{9}}$') then '720575940' || {d} else {d} end"
 
 
 def sql_bare(c: str) -> str:
     """DuckDB text of the bare label of column ``c``."""
-    t = rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+    t = _sql_strip(c)
     for _ in range(4):
-        t = rf"regexp_replace(regexp_replace({t}, '^(?:(.*)_[LRU]|\((.*)\))$', '\1\2'), '^\s+|\s+$', '', 'g')"
+        t = _sql_strip(rf"regexp_replace({t}, '^(?:(.*)_[LRU]|\((.*)\))$', '\1\2')")
     return t
 
 
@@ -115,9 +120,9 @@ SQL = {
     "p2_type_stats": f"""
 with bare as (select *, {sql_bare('type_pre')} as b_pre, {sql_bare('type_post')} as b_post from example_bodyid_network),
 sides as (
-  select 'pre' as side, case when not {sql_untyped('b_pre')} then regexp_replace(type_pre, '^\\s+|\\s+$', '', 'g') end as type, {sql_canonical('bodyId_post')} as partner, weight from bare
+  select 'pre' as side, case when not {sql_untyped('b_pre')} then {_sql_strip('type_pre')} end as type, {sql_canonical('bodyId_post')} as partner, weight from bare
   union all
-  select 'post', case when not {sql_untyped('b_post')} then regexp_replace(type_post, '^\\s+|\\s+$', '', 'g') end, {sql_canonical('bodyId_pre')}, weight from bare)
+  select 'post', case when not {sql_untyped('b_post')} then {_sql_strip('type_post')} end, {sql_canonical('bodyId_pre')}, weight from bare)
 select side, type, count(*) as n_rows, sum(weight)::bigint as sum_weight, count(distinct partner) as n_partners, median(weight)::double as median_weight from sides group by side, type""",
     "p4_found": f"with {_REFS} select table_name, field, row_id, ref from orphans",
     "p4_report": f"""with {_REFS}, refs as (select * from network_refs where ref is not null union all select * from type_refs),
