@@ -38,10 +38,18 @@ def is_untyped_bare(bare: Column) -> Column:
     return F.coalesce((bare == "") | F.lower(bare).isin(UNTYPED_WORDS) | bare.rlike(r"^(?:[hH][bB])?[0-9]+$"), F.lit(True))
 
 
+def _untyped_pattern() -> str:
+    """One pattern for all untyped labels: a sentinel, digits, ``hb`` and digits or nothing, within wrappers."""
+    label = rf"(?i:{'|'.join(UNTYPED_WORDS)}|(?:hb)?[0-9]+)?"
+    for _ in range(WRAPPER_DEPTH // 2):
+        label = rf"(?:{label}|\(\s*{label}\s*\))(?:\s*_[LRU])*"
+    return rf"^{label}$"
+
+
 def is_untyped(c: Column) -> Column:
     """Whether a label means "no type": null, blank, a sentinel word, all digits, or ``hb`` and digits,
-    looked at without side suffixes and enclosing parentheses."""
-    return is_untyped_bare(bare_label(c))
+    looked at without side suffixes and enclosing parentheses (up to ``WRAPPER_DEPTH // 2`` pairs)."""
+    return F.coalesce(strip(c).rlike(_untyped_pattern()), F.lit(True))
 
 
 def canonical_id(c: Column) -> Column:
@@ -52,7 +60,7 @@ def canonical_id(c: Column) -> Column:
     text = strip(c.cast("string"))
     digits = F.ltrim(F.regexp_replace(text, r"^([0-9]+)\.0+$", "$1"), F.lit("0"))
     full = F.when((F.length(digits) == SHORT_ID_DIGITS) & digits.rlike("^[0-9]+$"), F.concat(F.lit(SHORT_ID_PREFIX), digits)).when(digits == "", F.lit("0")).otherwise(digits)
-    plain = c.cast("string").rlike("^[1-9][0-9]*$") & (F.length(c.cast("string")) != SHORT_ID_DIGITS)
+    plain = c.cast("string").rlike(rf"^[1-9](?:[0-9]{{0,{SHORT_ID_DIGITS - 2}}}|[0-9]{{{SHORT_ID_DIGITS},}})$")
     return F.when(plain, c.cast("string")).when(text != "", full)
 
 

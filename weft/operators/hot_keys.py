@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import cut
+
 #: Adjacent integer values that form one block of the two-level median.
 MEDIAN_BLOCK = 1024
 
@@ -57,7 +59,8 @@ def skewed_key_stats(df: DataFrame, sides: dict[str, tuple[Column, Column]], val
     each = F.array(*[F.struct(F.lit(s).alias("side"), k.alias("key"), p.alias("partner")) for s, (k, p) in sides.items()])
     # the value first: it may be the table's own column of the same name as one made here
     rows = df.select(value.cast("bigint").alias("__value"), each.alias("__each")).select("__value", F.inline("__each"))
-    hist = rows.groupBy("side", "key", "__value").agg(F.count(F.lit(1)).alias("__rows"))
+    # read three times below; far smaller than the input, as equal values of a key are one row
+    hist = cut(rows.groupBy("side", "key", "__value").agg(F.count(F.lit(1)).alias("__rows")))
     totals = hist.groupBy("side", "key").agg(F.sum("__rows").alias("n_rows"), F.sum(F.col("__value") * F.col("__rows")).alias("total"))
     partners = rows.where(F.col("partner").isNotNull()).groupBy("side", "key", "partner").agg(F.lit(1).alias("__one")).groupBy("side", "key").agg(F.count(F.lit(1)).alias("n_partners"))
     median = exact_median(hist, ["side", "key"], "__value", "__rows", "median")

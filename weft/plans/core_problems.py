@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.labels import BLANKS, bare_label, canonical_id, cell_names, is_untyped_bare, strip
+from weft.functions.labels import BLANKS, canonical_id, cell_names, is_untyped, strip
 from weft.operators.hot_keys import skewed_key_stats
 from weft.operators.orphans import orphan_references, orphan_report
 from weft.operators.topn import strongest_partners
@@ -18,11 +18,10 @@ def p2_type_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Untyped values of a side form one group whose type is null.
     """
-    net = network(spark, sf_dir).select("weight", "type_pre", "type_post", canonical_id(F.col("bodyId_pre")).alias("pre"), canonical_id(F.col("bodyId_post")).alias("post"))
-    bare = net.withColumns({"bare_pre": bare_label(F.col("type_pre")), "bare_post": bare_label(F.col("type_post"))})
-    kind = lambda s: F.when(~is_untyped_bare(F.col(f"bare_{s}")), strip(F.col(f"type_{s}")))
-    sides = {"pre": (kind("pre"), F.col("post")), "post": (kind("post"), F.col("pre"))}
-    return skewed_key_stats(bare, sides, F.col("weight")).select("side", F.col("key").alias("type"), "n_rows", F.col("total").alias("sum_weight"), "n_partners", F.col("median").alias("median_weight"))
+    net = network(spark, sf_dir)
+    kind = lambda c: F.when(~is_untyped(F.col(c)), strip(F.col(c)))
+    sides = {"pre": (kind("type_pre"), canonical_id(F.col("bodyId_post"))), "post": (kind("type_post"), canonical_id(F.col("bodyId_pre")))}
+    return skewed_key_stats(net, sides, F.col("weight")).select("side", F.col("key").alias("type"), "n_rows", F.col("total").alias("sum_weight"), "n_partners", F.col("median").alias("median_weight"))
 
 
 def _network_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
