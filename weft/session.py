@@ -37,3 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over all cores, for stages whose work is large for the bytes they read.
+
+    Adaptive execution sizes partitions by bytes and would run such a stage in few tasks.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
