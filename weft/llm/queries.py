@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.labels import cell_names, is_untyped, strip
-from weft.llm import canonical_match, components, set_join
+from weft.llm import canonical_match, components, mixing, packing, set_join, text_quality
 from weft.session import table
 from weft.sources.tables import current_neurons
 
@@ -58,5 +58,35 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.class_summary(member, links).select(F.col("scope").alias("direction"), F.col("id").alias("profile_id"), "class_id", "n_copies", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p5_found, p5_classes)}
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pack of every piece of every text, for each pack size."""
+    return packing.pack_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the packs of each size are."""
+    return packing.fill_report(p7_packing(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix and how often they are used."""
+    return mixing.mix_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that each mix reaches."""
+    return mixing.share_report(p8_choice(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of each text, the probability of each kind and the likeliest."""
+    return text_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that are lists, tables or junk."""
+    return text_quality.not_prose(p9_statistics(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p5_found, p5_classes, p7_packing, p7_fill, p8_choice, p8_shares, p9_statistics, p9_found)}
 SQL: dict[str, str] = {}
