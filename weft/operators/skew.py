@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import cut
+
 #: Keys that the sketch may report, and counters that it keeps; both bound its size, not the result.
 HOT_KEYS, TRACKED = 64, 4096
 #: Over how many tasks the rows of a hot key are spread.
@@ -37,3 +39,21 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, ho
     b = right.withColumn("__salt", F.explode(F.when(F.array_contains(hot, F.col(hot_key)), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).alias("r")
     on = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "__salt"]])
     return a.join(b, on if extra is None else on & extra, how)
+
+
+def running_sums(df: DataFrame, order: str, sums: list[str], descending: bool = False) -> DataFrame:
+    """``df`` with ``upto_<c>`` for each of ``sums``: the sum of ``c`` over all rows up to and with this one.
+
+    ``order`` is unique. Rows are cut into ranges of it; sums per range come first, so no window holds all rows.
+    """
+    key = F.desc(order) if descending else F.asc(order)
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = cut(df.repartitionByRange(n, key).withColumn("__part", F.spark_partition_id()))
+    per = parts.groupBy("__part").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("__part", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums])
+    own = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # as many rows as partitions
+    joined = parts.join(F.broadcast(offsets), "__part")
+    return joined.withColumns({f"upto_{c}": F.col(f"__{c}") + F.sum(c).over(own) for c in sums}).drop("__part", *[f"__{c}" for c in sums])
