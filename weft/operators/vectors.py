@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +74,17 @@ def block_cosine(a: Column, b: Column, split: int, width: int, weights: tuple[fl
     return top / F.nullif(use[0] + use[1], F.lit(0.0))
 
 
+def block_scaled(v: Column, split: int, width: int, weights: tuple[float, float]) -> Column:
+    """``v`` with each block scaled to the root of its weight, so plain cosines are those of ``block_cosine`` for
+    vectors whose blocks all have length."""
+
+    def scaled(part: Column, w: float) -> Column:
+        norm = F.sqrt(dot(part, part))
+        return F.transform(part, lambda x: F.when(norm > 0, x.cast("double") / norm * math.sqrt(w)).otherwise(0.0))
+
+    return F.concat(scaled(F.slice(v, 1, split), weights[0]), scaled(F.slice(v, split + 1, width - split), weights[1]))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """``query, id, similarity, rank``: the ``k`` vectors of largest cosine to each query, itself left out.
 
