@@ -14,6 +14,8 @@ SHORT_ID_PREFIX = "720575940"
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: How many wrappers (side suffixes and enclosing parentheses) are looked through.
 WRAPPER_DEPTH = 6
+#: A longer text is no label for "no type", whatever it holds.
+LONGEST_LABEL = 1000
 
 
 def strip(c: Column) -> Column:
@@ -49,7 +51,7 @@ def _untyped_pattern() -> str:
 def is_untyped(c: Column) -> Column:
     """Whether a label means "no type": null, blank, a sentinel word, all digits, or ``hb`` and digits,
     looked at without side suffixes and enclosing parentheses (up to ``WRAPPER_DEPTH // 2`` pairs)."""
-    return F.coalesce(strip(c).rlike(_untyped_pattern()), F.lit(True))
+    return F.coalesce((F.length(c) <= LONGEST_LABEL) & strip(c).rlike(_untyped_pattern()), F.lit(True))
 
 
 def canonical_id(c: Column) -> Column:

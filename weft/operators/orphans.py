@@ -54,16 +54,18 @@ def orphan_references(refs: DataFrame, parents: DataFrame, log2_bits: int = BLOO
     does not. Rows whose ``ref`` is null refer to nothing and never come out. Repeated rows each come out. Without
     parents every reference is an orphan.
     """
-    refs = refs.where(F.col("ref").isNotNull())
+    # further columns travel as one value, so they may have any name
+    own = ["ref", "at", "row_id"]
+    rest = [F.col(f"`{c}`") for c in refs.columns if c not in own]
+    packed = refs.where(F.col("ref").isNotNull()).select(*own, F.struct(*rest, F.lit(None).cast("boolean").alias("__none")).alias("row"))
+    back = [F.col(c) if c in own else F.col(f"row.`{c}`").alias(c) for c in refs.columns]
     parents = parents.where(F.col("ref").isNotNull()).select("ref", "first_seen", "removed_at")
     bloom = bloom_filter(parents, "ref", log2_bits)
-    flagged = refs.withColumn("__maybe", may_exist(F.col("ref"), bloom, log2_bits))
-    definite = flagged.where(~F.col("__maybe")).drop("__maybe")
-    maybe = flagged.where("__maybe").drop("__maybe")
+    flagged = packed.withColumn("maybe", may_exist(F.col("ref"), bloom, log2_bits))
+    definite = flagged.where("not maybe").select(*back)
     alive = (F.col("r.first_seen") <= F.col("l.at")) & (F.col("r.removed_at").isNull() | (F.col("r.removed_at") > F.col("l.at")))
-    hot = hot_keys(refs, F.col("ref"))
-    missing = salted_join(maybe, parents, ["ref"], "left_anti", hot, "ref", F.col("row_id"), alive).drop("__salt")
-    return definite.unionByName(missing)
+    missing = salted_join(flagged.where("maybe"), parents, ["ref"], "left_anti", hot_keys(packed, F.col("ref")), "ref", F.col("row_id"), alive)
+    return definite.unionByName(missing.select(*back))
 
 
 def orphan_report(refs: DataFrame, orphans: DataFrame, by: list[str]) -> DataFrame:
