@@ -35,8 +35,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, ho
     repeated for each salt. For left, left semi, left anti and inner joins, in which each row of ``left`` meets
     the rows of ``right`` exactly once. ``left`` and ``right`` are aliased ``l`` and ``r`` for ``extra``.
     """
-    a = left.withColumn("__salt", F.when(F.array_contains(hot, F.col(hot_key)), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).alias("l")
-    b = right.withColumn("__salt", F.explode(F.when(F.array_contains(hot, F.col(hot_key)), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).alias("r")
+    a = left.withColumn("__salt", F.when(F.array_contains(hot, F.col(hot_key).cast("string")), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).alias("l")
+    b = right.withColumn("__salt", F.explode(F.when(F.array_contains(hot, F.col(hot_key).cast("string")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).alias("r")
     on = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "__salt"]])
     return a.join(b, on if extra is None else on & extra, how)
 
