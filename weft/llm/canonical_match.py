@@ -20,6 +20,8 @@ from weft.operators.skew import hot_keys, salted_join
 
 #: Edits that a misspelt value may be away from its reference text; two neighbours swapped are two edits.
 MAX_EDITS = 2
+#: A value that is longer than this after its surrounding blanks denotes nothing.
+LONGEST_VALUE = 400
 #: Cyrillic and Greek letters that look like Latin ones, and those.
 LOOKALIKE = "аеорсухкмтнвіјѕԁԛոαοριντυκχ"
 LOOKS_LIKE = "aeopcyxkmthbijsdqnaopivtukx"
@@ -56,9 +58,10 @@ def parsed(values: DataFrame, value: str) -> DataFrame:
 
     Marks of side and doubt, quotes and trailing remarks in parentheses are taken off. ``num`` is the only number
     of the value without leading zeros, ``sub`` the single letter after it (or ''), ``letters`` all other letters.
-    All are null if the value is untyped or has not exactly one number.
+    All are null if the value is untyped, longer than ``LONGEST_VALUE`` or has not exactly one number.
     """
-    t = F.regexp_replace(folded(F.col(value)), "[\"'`´“”„‘’«»*~?!#=<>]+", " ")
+    short = F.when(F.length(strip(F.col(value))) <= LONGEST_VALUE, strip(F.col(value)))
+    t = F.regexp_replace(folded(short), "[\"'`´“”„‘’«»*~?!#=<>]+", " ")
     t = strip(F.regexp_replace(t, r"(?<=[^\s(\[])[\s_]*[(\[][^()\[\]0-9]*[)\]][\s.]*$", " "))
     t = strip(F.regexp_replace(t, rf"(?:^|(?<=[^\p{{L}}\p{{N}}]))(?:{'|'.join(DOUBT)})(?:$|(?=[^\p{{L}}\p{{N}}]))\.?", " "))
     t = F.regexp_replace(t, NEURON, "neuron")
@@ -158,10 +161,12 @@ def match_values(values: DataFrame, types: DataFrame) -> DataFrame:
 def map_rows(rows: DataFrame, types: DataFrame) -> DataFrame:
     """``field, row_id, value, type_id`` for each row whose ``value`` is neither null nor blank nor exactly a type.
 
-    ``rows`` has ``field, row_id, value``. Repeated rows each come out. Rows that are exactly a type are dropped by
+    ``rows`` has ``field, row_id, value``, of which only these columns are read; ``types`` may be empty, then nothing is
+    denoted, and its rows without an id are left out. Repeated rows each come out. Rows that are exactly a type are dropped by
     the Bloom filter of the other values before anything is shuffled; rows of hot values are salted.
     """
     rows = rows.select("field", "row_id", "value").where(strip(F.col("value")) != "")
+    types = types.where("type_id is not null")
     exact = types.select(F.col("type").alias("value"))
     distinct = rows.groupBy("value").agg(F.lit(1).alias("__one")).select("value").join(exact, "value", "left_anti")
     mapped = match_values(distinct, types)

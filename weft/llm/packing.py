@@ -24,7 +24,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Buckets in which texts of one length are ranked.
 BUCKETS = 64
-#: A run without white space longer than this is counted in pieces of this length; merging is quadratic in it.
+#: A run of black or of white space longer than this is counted in pieces of this length; merging is costly in it.
 LONGEST_RUN = 20000
 
 _LOADED: dict = {}
@@ -42,12 +42,12 @@ def _encoding(path: str):
 def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", tokenizer: str = TOKENIZER) -> DataFrame:
     """``docs`` with the number of tokens of the whole ``text``, 0 for null and blank texts.
 
-    The strings of special tokens are ordinary text. Runs of more than ``LONGEST_RUN`` characters without white space
-    are counted in pieces.
+    The strings of special tokens are ordinary text. Runs of more than ``LONGEST_RUN`` characters of black or of white
+    space are counted in pieces.
     """
     import re
 
-    run = re.compile(rf"\S{{{LONGEST_RUN}}}(?=\S)")
+    run = re.compile(rf"(?:\S{{{LONGEST_RUN}}}|\s{{{LONGEST_RUN}}})(?=.)", re.DOTALL)
 
     @F.pandas_udf("bigint")
     def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -151,9 +151,9 @@ def pack(sized: DataFrame, capacity: int, name: str, id_col: str = "doc_id", siz
 def pack_all(docs: DataFrame, sizes: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``pack`` for each row of ``sizes`` (``pack_name, capacity_tokens``), a small table of settings.
 
-    Rows without a positive capacity are left out.
+    Rows without a positive capacity and texts without an id are left out. Texts that come twice are packed twice.
     """
-    sized = cut(count_tokens(spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"))), "t", "n_tokens", tokenizer).select("doc_id", "n_tokens"))
+    sized = cut(count_tokens(spread(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"))), "t", "n_tokens", tokenizer).select("doc_id", "n_tokens"))
     wanted = sizes.where("capacity_tokens > 0").select("pack_name", "capacity_tokens").distinct().orderBy("pack_name").collect()
     out = docs.sparkSession.createDataFrame([], f"pack_name string, doc_id {dict(sized.dtypes)['doc_id']}, piece_no bigint, start_token bigint, n_tokens bigint, pack_id bigint")
     for r in wanted:

@@ -121,10 +121,13 @@ def similar_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
 def classes(records: DataFrame) -> DataFrame:
     """``scope, id, tokens, class_id`` with one class per distinct set; its id is the smallest of its records.
 
-    ``records`` has ``scope, id, tokens``. Records without tokens are left out. A class with a third of all records
-    is salted.
+    ``records`` has ``scope, id, tokens``. Records without a scope, an id or tokens are left out; null and repeated
+    tokens do not count; of repeated ids the record with the smallest tokens counts. A class with a third of all
+    records is salted.
     """
-    keyed = records.select("scope", "id", F.array_sort("tokens").alias("tokens")).where(F.size("tokens") > 0)
+    tokens = F.array_sort(F.array_distinct(F.filter("tokens", lambda t: t.isNotNull())))
+    known = records.where("scope is not null and id is not null").select("scope", "id", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    keyed = known.groupBy("scope", "id").agg(F.min("tokens").alias("tokens"))
     keyed = cut(keyed.withColumn("__same", F.sha2(F.concat_ws("\x1f", "scope", F.array_join("tokens", "\x1e")), 256)))
     first = keyed.groupBy("__same").agg(F.min("id").alias("class_id"))
     return salted_join(keyed, first, ["__same"], "inner", hot_keys(keyed, F.col("__same")), "__same", F.col("id")).select("l.scope", "l.id", "l.tokens", "r.class_id")

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.labels import strip
 from weft.session import cut, spread
 
 KINDS = ["prose", "list", "table", "junk"]
@@ -89,9 +90,10 @@ def common_pattern(common: DataFrame) -> str:
     return r"(?<![\p{L}\p{N}_])" + (_trie(sorted(words)) if words else "(?!)") + r"(?![\p{L}\p{N}_])"
 
 
-def _line_stats(line: Column) -> Column:
+def _line_stats(raw: Column) -> Column:
     """What one line is: characters, words, and of what kind its characters count."""
-    n = F.length(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    line = F.rtrim(raw)
+    n = F.length(strip(raw))
     words = F.regexp_count(line, F.lit(r"\S+"))
     count = lambda p: F.regexp_count(line, F.lit(p))
     numeric = {d: count(rf"(?:^|(?<={d}))[ ]*{_NUMBER}[ ]*(?={d}|$)") for d in (",", ";")}
@@ -100,7 +102,8 @@ def _line_stats(line: Column) -> Column:
     split = F.lit(False)
     for d, pattern in ((",", ","), (";", ";")):
         split = split | ((count(pattern) >= 2) & (numeric[d] * 3 >= count(pattern) + 1) & (numeric[d] >= 2))
-        split = split | line.rlike(rf"^[^{d}\s]*(?:{d}[^{d}\s]*){{2,}}$") | (line.rlike(rf"^[^{d}\s]*(?:{d} ?[^{d}\s]*){{2,}}$") & (numeric[d] >= 1))
+        # blanks only after the separators, or none at all
+        split = split | ((count(pattern) >= 2) & ~strip(raw).rlike(rf"(?<!{d})\s") & ((numeric[d] >= 1) | ~strip(raw).rlike(r"\s")))
     tabs, pipes, amps = count("\t"), count(r" \| "), count(" & ")
     is_table = framed | columns | split | (tabs >= 2) | ((amps >= 1) & line.rlike(r"\\\\\s*$")) | ((pipes >= 2) & (count(rf"(?:^|\| ){_NUMBER}(?= \||$)") >= 1)) | ((tabs == 1) & line.rlike(rf"\t{_NUMBER}$"))
     machine = line.rlike(r"(?:[0-9]{2}:[0-9]{2}:[0-9]{2}.*\S=\S)|(?:(?:^|\s)\S+=\S+\s.*\s\S+=\S+)|[0-9a-fA-F]{24,}|^(?=.*[A-Za-z0-9]{16})[A-Za-z0-9+/=_-]{40,}$|0x[0-9a-fA-F]{4,}.*0x[0-9a-fA-F]{4,}")
@@ -110,29 +113,29 @@ def _line_stats(line: Column) -> Column:
 
 
 def text_statistics(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document with text: its id and its statistics. Null and blank texts have none.
+    """One row per document with text: its id and its statistics. Null and blank texts and null ids have none.
 
-    Ids that come twice give a row each only if the id is unique; repeated ids are counted as one text.
+    Rows that repeat both id and text count once; an id with several texts has a row for each.
     """
-    clean = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(F.col(text), r"\r\n?", "\n").alias("t")).where(F.col("t").rlike(r"\S"))
-    clean = spread(clean)
-    lines = clean.select("doc_id", F.explode(F.split("t", "\n")).alias("line")).where(F.col("line").rlike(r"\S"))
-    described = lines.select("doc_id", "line", F.inline(F.array(_line_stats(F.col("line")))))
-    per_line = described.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n").alias("line_chars"), *[F.sum(c).alias(f"c_{c}") for c in ("table", "machine", "marked", "short")], F.sum("stop").alias("n_stop"))
+    clean = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.regexp_replace(F.col(text), r"\r\n?", "\n").alias("t")).where(F.col("t").rlike(r"\S"))
+    clean = spread(clean.select("doc_id", "t", F.xxhash64("t").alias("h")))
+    lines = clean.select("doc_id", "h", F.explode(F.split("t", "\n")).alias("line")).where(F.col("line").rlike(r"\S"))
+    described = lines.select("doc_id", "h", "line", F.inline(F.array(_line_stats(F.col("line")))))
+    per_line = described.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("all_lines"), F.sum("n").alias("line_chars"), *[F.sum(c).alias(f"c_{c}") for c in ("table", "machine", "marked", "short")], F.sum("stop").alias("n_stop"))
     t = F.col("t")
     count = lambda p: F.regexp_count(t, F.lit(p))
     words = F.filter(F.split(F.lower(t), r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w != "")
     parts = F.filter(F.transform(F.split(t, r"[.!?\n]+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     whole = clean.select(
-        "doc_id", F.length("t").alias("n_chars"), count(r"\S+").alias("n_words"), F.regexp_count(F.lower(t), F.lit(common_pattern(common))).alias("n_common"),
-        count(r"[\p{L}\p{M}]+(?:['’-][\p{L}]+)*").alias("n_alpha"), F.length(F.regexp_replace(t, r"[^\p{L}\p{M}]", "")).alias("letters"), F.length(F.regexp_replace(t, r"[\p{L}\p{M}\p{N}\s]", "")).alias("symbols"), F.length(F.regexp_replace(t, r"[^0-9]", "")).alias("digits"), F.length(F.regexp_replace(t, r"\s", "")).alias("solid"),
+        "doc_id", "h", F.length("t").alias("n_chars"), F.size(F.filter(F.split("t", "\n"), lambda x: x.rlike(r"\S"))).alias("n_lines"), count(r"\S+").alias("n_words"), F.regexp_count(F.lower(t), F.lit(common_pattern(common))).alias("n_common"),
+        count(r"[\p{L}\p{M}]+").alias("n_alpha"), F.length(F.regexp_replace(t, r"[^\p{L}\p{M}]", "")).alias("letters"), F.length(F.regexp_replace(t, r"[\p{L}\p{M}\p{N}\s]", "")).alias("symbols"), F.length(F.regexp_replace(t, r"[^0-9]", "")).alias("digits"), F.length(F.regexp_replace(t, r"\s", "")).alias("solid"),
         count(r"[ÂÃâ€�¬©§¼½¾¤¶¦\x{80}-\x{9f}]").alias("odd"), count(r"[\p{L}][~^_*<>{}\[\]\\|!;:'`@#$%=+]+[\p{L}]|(?<!\S)[~^_*<>{}\\|!;:@$%=]+[\p{L}]|[\p{L}][~^_*<>{}\\|@$%=]+(?!\S)").alias("scrambled"),
         count(r"[.,;:!?…](?=\s|$)").alias("stops"), count(r"[,;|](?=\s)").alias("seps"), F.size(words).alias("w"), F.size(F.array_distinct(words)).alias("w_distinct"), F.size(parts).alias("p"), F.size(F.array_distinct(parts)).alias("p_distinct"),
     )
     n = F.greatest(F.col("line_chars"), F.lit(1))
-    all_stats = whole.join(per_line, "doc_id").select(
-        "doc_id", "n_chars", "n_words", "n_lines", (F.col("letters") / F.greatest("n_alpha", F.lit(1))).alias("mean_word_length"), (F.col("symbols") / F.greatest("solid", F.lit(1))).alias("symbol_ratio"), (F.col("digits") / F.greatest("solid", F.lit(1))).alias("digit_ratio"),
-        (F.col("n_stop") / F.col("n_lines")).alias("stop_line_share"), (F.col("n_common") / F.greatest("n_alpha", F.lit(1))).alias("common_share"), (F.col("c_marked") / n).alias("marked_share"), (F.col("c_short") / n).alias("short_share"), (F.col("c_table") / n).alias("table_share"), (F.col("c_machine") / n).alias("machine_share"),
+    all_stats = whole.dropDuplicates(["doc_id", "h"]).join(per_line, ["doc_id", "h"]).select(
+        "doc_id", "h", "n_chars", "n_words", "n_lines", (F.col("letters") / F.greatest("n_alpha", F.lit(1))).alias("mean_word_length"), (F.col("symbols") / F.greatest("solid", F.lit(1))).alias("symbol_ratio"), (F.col("digits") / F.greatest("solid", F.lit(1))).alias("digit_ratio"),
+        (F.col("n_stop") / F.col("all_lines")).alias("stop_line_share"), (F.col("n_common") / F.greatest("n_alpha", F.lit(1))).alias("common_share"), (F.col("c_marked") / n).alias("marked_share"), (F.col("c_short") / n).alias("short_share"), (F.col("c_table") / n).alias("table_share"), (F.col("c_machine") / n).alias("machine_share"),
         (F.col("odd") / F.greatest("solid", F.lit(1))).alias("odd_share"), (F.col("scrambled") / F.greatest("n_words", F.lit(1))).alias("scrambled_share"), (F.col("stops") / F.greatest("n_words", F.lit(1))).alias("stop_share"), (F.col("seps") / F.greatest("n_words", F.lit(1))).alias("separator_share"),
         (F.col("w_distinct") / F.greatest("w", F.lit(1))).alias("distinct_word_share"), (F.col("p_distinct") / F.greatest("p", F.lit(1))).alias("distinct_part_share"), (F.col("w") / F.greatest("p", F.lit(1))).alias("words_per_part"), F.col("w").alias("n_tokens"), F.col("w_distinct").alias("n_distinct"),
     )
@@ -217,11 +220,11 @@ def classify(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", text: s
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             p = _responsibilities(np.stack(b["x"].to_numpy()), *model) @ kind_of if len(b) else np.zeros((0, len(KINDS)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "p": list(p), "kind": [KINDS[i] for i in p.argmax(1)]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "p": list(p), "kind": [KINDS[i] for i in p.argmax(1)]})
 
     id_type = dict(scaled.dtypes)["doc_id"]
-    labels = scaled.select("doc_id", "x").mapInPandas(label, f"doc_id {id_type}, p array<double>, kind string")
-    return stats.drop("x", *FEATURES).join(labels, "doc_id").select("doc_id", *[c for c in stats.columns if c not in ("doc_id", "x", *FEATURES)], *[F.col("p")[i].alias(f"p_{k}") for i, k in enumerate(KINDS)], "kind")
+    labels = scaled.select("doc_id", "h", "x").mapInPandas(label, f"doc_id {id_type}, h bigint, p array<double>, kind string")
+    return stats.drop("x", *FEATURES).join(labels, ["doc_id", "h"]).select("doc_id", *[c for c in stats.columns if c not in ("doc_id", "h", "x", *FEATURES)], *[F.col("p")[i].alias(f"p_{k}") for i, k in enumerate(KINDS)], "kind")
 
 
 def not_prose(classified: DataFrame) -> DataFrame:
