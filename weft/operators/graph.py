@@ -50,7 +50,8 @@ def hops(edges: DataFrame, starts: DataFrame, bound: int, backward: bool = False
         found = cut(found.withColumn("dist", F.lit(i)))
         if found.isEmpty():
             break
-        seen = cut(seen.unionByName(found))
+        # both parts are already cut, and there are as many as hops
+        seen = seen.unionByName(found)
     return seen
 
 
@@ -147,7 +148,7 @@ def strongest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, bo
     tier = FIRST_TIER
     while True:
         least = _tier(kept, tier)
-        paths = cut(simple_paths(kept if least is None else kept.where(F.col("weight") >= least), sources, targets, bound))
+        paths = cut(simple_paths(kept if least is None else kept.where(F.col("weight") >= least), sources, targets, bound, pruned=True))
         top = paths.select("bottleneck").orderBy(F.desc("bottleneck")).limit(budget).agg(F.min("bottleneck"), F.count(F.lit(1))).first()
         weaker = paths.where(F.col("bottleneck") < (top[0] if top[0] is not None else 0)).agg(F.max("bottleneck")).first()[0]
         if least is None or (top[1] == budget and weaker is not None):
@@ -171,7 +172,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, cut
         found = cut(found.withColumn("dist", F.lit(i)))
         if found.isEmpty():
             break
-        dist = cut(dist.unionByName(found))
+        dist = dist.unionByName(found)
     front = dist.where("dist > 0").join(sources.select("node").distinct(), "node", "left_semi").select("target", "dist", F.array("node").alias("path"), F.expr("cast(array() as array<double>)").alias("weights"))
     out = None
     for _ in range(cutoff):
@@ -344,3 +345,68 @@ def name_components(links: DataFrame) -> DataFrame:
         if new.where("new <> component").isEmpty():
             return now
         now = new.select("node", F.col("new").alias("component"))
+
+
+def ratio_paths(slices: DataFrame, sources: DataFrame, targets: DataFrame, least_ratio: float, max_between: int, edge_cap: int | None = None, budget: int | None = None) -> tuple[DataFrame, dict]:
+    """``path, weights, bottleneck`` of the paths whose hops carry at least ``least_ratio`` of the receiver's input.
+
+    Ratios are taken over all sources before anything is filtered. ``max_between`` counts nodes between the ends.
+    ``edge_cap`` bounds the edges by dropping the weakest ratios, ``budget`` the paths, with all ties of the last kept.
+    """
+    pairs = slices.groupBy("pre", "post").agg(F.sum("weight").alias("w"))
+    total = F.sum("w").over(Window.partitionBy("post"))
+    ratio = pairs.select("pre", "post", F.when(total > 0, F.col("w") / total).alias("weight")).where((F.col("weight") >= least_ratio) & (F.col("pre") != F.col("post")))
+    bound = max_between + 1
+    kept = cut(ratio)
+    facts: dict = {"floor": least_ratio}
+    if edge_cap:
+        kept, facts["floor"] = edge_budget(kept, sources, targets, bound, edge_cap)
+    if budget:
+        paths, more = strongest_paths(kept, sources, targets, bound, budget)
+        return paths, facts | more
+    return simple_paths(kept, sources, targets, bound), facts
+
+
+def batched_shortest(edges: DataFrame, sources: DataFrame, targets: DataFrame, cutoff: int, batch: int) -> DataFrame:
+    """The shortest paths, found for contiguous batches of ``batch`` targets so the labels of one batch exist at a time.
+
+    The targets are a stated set whose ids the driver holds.
+    """
+    names = [r["node"] for r in targets.select("node").distinct().toLocalIterator()]
+    spark, out = edges.sparkSession, None
+    for part in compose_batches(dict.fromkeys(names, 1), fixed=batch):
+        one = shortest_paths(edges, sources, spark.createDataFrame([(x,) for x in part], "node string"), cutoff)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def chain_paths(edges: DataFrame, chain: list[str], labels: DataFrame) -> DataFrame:
+    """``path, bottleneck`` of the simple paths whose labels are ``chain``, hop by hop; ``labels`` has ``node, label``."""
+    front = labels.where(F.col("label") == chain[0]).select(F.array("node").alias("path"), F.lit(float("inf")).alias("bottleneck"))
+    for name in chain[1:]:
+        own = labels.where(F.col("label") == name).select(F.col("node").alias("post"))
+        step = edges.join(own, "post", "left_semi")
+        grown = front.join(step, F.element_at("path", -1) == F.col("pre")).where(~F.array_contains("path", F.col("post")))
+        front = cut(grown.select(F.array_append("path", F.col("post")).alias("path"), F.least("bottleneck", F.col("weight").cast("double")).alias("bottleneck")))
+    return front
+
+
+def layered_least(edges: DataFrame, chain: list[str], labels: DataFrame) -> DataFrame:
+    """``hop, least``: per hop of a chain of labels, the smallest ratio among edges that lie on a whole realisation.
+
+    ``edges`` has ``pre, post, ratio``. Nodes are kept if the first and the last layer are reached from them.
+    """
+    layers = [labels.where(F.col("label") == name).select("node") for name in chain]
+    hops_: list[DataFrame] = []
+    alive = layers[0]
+    for name in layers[1:]:
+        e = cut(edges.join(alive.withColumnRenamed("node", "pre"), "pre", "left_semi").join(name.withColumnRenamed("node", "post"), "post", "left_semi"))
+        hops_.append(e)
+        alive = e.select(F.col("post").alias("node")).distinct()
+    out = None
+    for i in range(len(hops_) - 1, -1, -1):
+        e = cut(hops_[i].join(alive.withColumnRenamed("node", "post"), "post", "left_semi"))
+        alive = e.select(F.col("pre").alias("node")).distinct()
+        one = e.agg(F.min("ratio").alias("least")).select(F.lit(i + 1).alias("hop"), "least")
+        out = one if out is None else out.unionByName(one)
+    return out

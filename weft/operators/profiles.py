@@ -160,3 +160,37 @@ def youden(scored: DataFrame) -> DataFrame:
     best = run.select("score", F.round(j, 9).alias("j")).orderBy(F.desc("j"), "score").limit(1)
     after = per.join(best.select(F.col("score").alias("at"), "j"), F.col("score") > F.col("at")).groupBy("at", "j").agg(F.min("score").alias("next"))
     return after.select(F.round((F.col("at") + F.col("next")) / 2, 9).alias("threshold"), "j")
+
+
+def two_hop_profile(edges: DataFrame, types: DataFrame, top_k: int) -> DataFrame:
+    """``entity, partner, weight``: the typed inputs of the untyped inputs of each entity.
+
+    ``edges`` has ``pre, post, weight``, ``types`` the typed nodes. Of each untyped input its ``top_k`` heaviest inputs
+    count, with the weight of the two hops multiplied; of equal weights the smaller id comes first.
+    """
+    first = edges.join(types.select(F.col("bodyId").alias("pre")), "pre", "left_anti").select(F.col("post").alias("entity"), F.col("pre").alias("mid"), F.col("weight").alias("w1"))
+    mids = edges.join(first.select(F.col("mid").alias("post")).distinct(), "post", "left_semi")
+    best = mids.withColumn("r", F.row_number().over(Window.partitionBy("post").orderBy(F.desc("weight"), F.length("pre"), "pre"))).where(F.col("r") <= top_k)
+    second = best.join(types.select(F.col("bodyId").alias("pre"), "type"), "pre").select(F.col("post").alias("mid"), F.col("type").alias("partner"), F.col("weight").alias("w2"))
+    return first.join(second, "mid").groupBy("entity", "partner").agg(F.sum(F.col("w1") * F.col("w2")).alias("weight"))
+
+
+def pooled(scores: DataFrame) -> DataFrame:
+    """``target, n_sources, best_source, jaccard``: the candidates of all sources pooled by target."""
+    best = F.max_by("source", F.struct(F.coalesce("jaccard", F.lit(-1.0)), F.coalesce("rank_union", F.lit(-2.0)), F.col("source")))
+    return scores.groupBy("target").agg(F.countDistinct("source").alias("n_sources"), best.alias("best_source"), F.max("jaccard").alias("jaccard"))
+
+
+def as_vectors(profiles: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``entity, v``: weights in the order of ``vocabulary``, 0 where a partner is absent."""
+    wide = profiles.groupBy("entity").pivot("partner", vocabulary).agg(F.sum("weight"))
+    return wide.select("entity", F.array(*[F.coalesce(F.col(f"`{p}`").cast("double"), F.lit(0.0)) for p in vocabulary]).alias("v"))
+
+
+def mountain(df: DataFrame, score: str, unique: str) -> DataFrame:
+    """``df``, a short list, with ``place``: the largest score in the middle, falling to both sides by turns."""
+    w = Window.orderBy(F.desc(score), unique)
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    r = F.row_number().over(w) - 1
+    middle = F.floor((n - 1) / 2)
+    return df.withColumn("place", (middle + F.when(r % 2 == 1, (r + 1) / 2).otherwise(-r / 2)).cast("int"))

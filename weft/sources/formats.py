@@ -109,3 +109,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header; arrays are written as ``[a, b]``."""
     flat = df.select(*[F.concat(F.lit("["), F.array_join(F.transform(F.col(c), lambda x: F.coalesce(x.cast("string"), F.lit(""))), ", "), F.lit("]")).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
     flat.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_skeletons(spark: SparkSession, path: str) -> DataFrame:
+    """``body, node_id, parent_id, x, y, z, radius`` of all SWC files under ``path``; the body is the file's name."""
+    lines = spark.read.text(path, wholetext=False).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.swc$", 1).alias("body"), strip(F.col("value")).alias("v"))
+    f = F.split("v", r"\s+")
+    rows = lines.where("v <> '' and not startswith(v, '#')").select("body", f.alias("f")).where(F.size("f") >= 7)
+    num = lambda i, t: F.col("f")[i].try_cast(t)
+    return rows.select("body", num(0, "int").alias("node_id"), num(6, "int").alias("parent_id"), num(2, "double").alias("x"), num(3, "double").alias("y"), num(4, "double").alias("z"), num(5, "double").alias("radius"))
