@@ -55,22 +55,15 @@ def hops(edges: DataFrame, starts: DataFrame, bound: int, backward: bool = False
     return seen
 
 
-def cone(edges: DataFrame, sources: DataFrame, targets: DataFrame, bound: int, passes: int = 4) -> DataFrame:
+def cone(edges: DataFrame, sources: DataFrame, targets: DataFrame, bound: int) -> DataFrame:
     """The edges that lie on a walk of at most ``bound`` hops from a source to a target.
 
-    An edge stays if its hops from the sources, itself and its hops to the targets fit the bound. Repeated until
-    nothing goes, ``passes`` times at most.
+    An edge stays if its hops from the sources, itself and its hops to the targets fit the bound. The edges of the
+    shortest ways to and from it then stay too, so distances do not change and a second pass would drop nothing.
     """
-    kept, before = edges, -1
-    for _ in range(passes):
-        ds = hops(kept, sources, bound).select(F.col("node").alias("pre"), F.col("dist").alias("ds"))
-        dt = hops(kept, targets, bound, backward=True).select(F.col("node").alias("post"), F.col("dist").alias("dt"))
-        kept = cut(kept.join(ds, "pre").join(dt, "post").where(F.col("ds") + 1 + F.col("dt") <= bound).select(*edges.columns))
-        n = kept.count()
-        if n == before:
-            break
-        before = n
-    return kept
+    ds = hops(edges, sources, bound - 1).select(F.col("node").alias("pre"), F.col("dist").alias("ds"))
+    dt = hops(edges, targets, bound - 1, backward=True).select(F.col("node").alias("post"), F.col("dist").alias("dt"))
+    return edges.join(ds, "pre").join(dt, "post").where(F.col("ds") + 1 + F.col("dt") <= bound).select(*edges.columns)
 
 
 def widest(edges: DataFrame, targets: DataFrame, bound: int) -> DataFrame:
@@ -91,7 +84,7 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, bound
     They start at ``sources.node`` and end at ``targets.node`` and may pass through other sources and targets.
     A prefix is only extended to nodes from which a target is still within reach.
     """
-    kept = edges if pruned else cone(edges, sources, targets, bound, 1)
+    kept = edges if pruned else cut(cone(edges, sources, targets, bound))
     reach = hops(kept, targets, bound, backward=True).select(F.col("node").alias("post"), "dist")
     step = cut(kept.groupBy("pre", "post").agg(F.sum("weight").alias("weight")).join(reach, "post"))
     front = sources.select("node").distinct().select(F.array("node").alias("path"), F.expr("cast(array() as array<double>)").alias("weights"))
@@ -109,7 +102,7 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, bound
 
 def half_way_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, bound: int) -> DataFrame:
     """``path`` of the same paths, by joining halves that meet in the middle."""
-    kept = cone(edges, sources, targets, bound, 1).groupBy("pre", "post").agg(F.sum("weight").alias("weight"))
+    kept = cut(cone(edges, sources, targets, bound).groupBy("pre", "post").agg(F.sum("weight").alias("weight")))
 
     def halves(e: DataFrame, starts: DataFrame, most: int) -> DataFrame:
         front = starts.select(F.array("node").alias("p")).distinct()
