@@ -70,22 +70,23 @@ def _strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_type_stats, p4_found, p4_report, p6_found, p6_ranked)}
 
 
-def _sql_strip(c: str) -> str:
+def sql_strip(c: str) -> str:
+    """DuckDB text of ``c`` without surrounding white space."""
     return f"trim({c}, '{BLANKS}')"
 
 
 def sql_canonical(c: str) -> str:
     """DuckDB text of the canonical id of column ``c``."""
-    t = _sql_strip(c)
+    t = sql_strip(c)
     d = rf"ltrim(regexp_replace({t}, '^([0-9]+)\.0+$', '\1'), '0')"
     return f"case when {t} = '' then null when {d} = '' then '0' when regexp_matches({d}, '^[0-9]{{9}}$') then '720575940' || {d} else {d} end"
 
 
 def sql_bare(c: str) -> str:
     """DuckDB text of the bare label of column ``c``."""
-    t = _sql_strip(c)
+    t = sql_strip(c)
     for _ in range(4):
-        t = _sql_strip(rf"regexp_replace({t}, '^(?:(.*)_[LRU]|\((.*)\))$', '\1\2')")
+        t = sql_strip(rf"regexp_replace({t}, '^(?:(.*)_[LRU]|\((.*)\))$', '\1\2')")
     return t
 
 
@@ -94,13 +95,13 @@ def sql_untyped(bare: str) -> str:
     return f"coalesce({bare} = '' or lower({bare}) in ('unknown','nan','none','null','<na>','<null>') or regexp_matches({bare}, '^(?:[hH][bB])?[0-9]+$'), true)"
 
 
-_CURRENT = "(select * from (select *, row_number() over (partition by bodyId order by last_fetched desc, row_id desc) as rn from male_cns_neuron_df) where rn = 1)"
+SQL_CURRENT = "(select * from (select *, row_number() over (partition by bodyId order by last_fetched desc, row_id desc) as rn from male_cns_neuron_df) where rn = 1)"
 _REFS = f"""
 network_refs as (
   select 'example_bodyid_network' as table_name, 'bodyId_pre' as field, row_id, {sql_canonical('bodyId_pre')} as ref, cached_date as seen_at from example_bodyid_network
   union all
   select 'example_bodyid_network', 'bodyId_post', row_id, {sql_canonical('bodyId_post')}, cached_date from example_bodyid_network),
-neurons as {_CURRENT},
+neurons as {SQL_CURRENT},
 cells as (select distinct row_id, last_fetched as seen_at, {sql_bare('x')} as ref from (select row_id, last_fetched, unnest(string_split(flywireType, ',')) as x from neurons)),
 type_refs as (select 'male_cns_neuron_df' as table_name, 'flywireType' as field, row_id, ref, seen_at from cells where not {sql_untyped('ref')}),
 orphans as (
@@ -119,9 +120,9 @@ SQL = {
     "p2_type_stats": f"""
 with bare as (select *, {sql_bare('type_pre')} as b_pre, {sql_bare('type_post')} as b_post from example_bodyid_network),
 sides as (
-  select 'pre' as side, case when not {sql_untyped('b_pre')} then {_sql_strip('type_pre')} end as type, {sql_canonical('bodyId_post')} as partner, weight from bare
+  select 'pre' as side, case when not {sql_untyped('b_pre')} then {sql_strip('type_pre')} end as type, {sql_canonical('bodyId_post')} as partner, weight from bare
   union all
-  select 'post', case when not {sql_untyped('b_post')} then {_sql_strip('type_post')} end, {sql_canonical('bodyId_pre')}, weight from bare)
+  select 'post', case when not {sql_untyped('b_post')} then {sql_strip('type_post')} end, {sql_canonical('bodyId_pre')}, weight from bare)
 select side, type, count(*) as n_rows, sum(weight)::bigint as sum_weight, count(distinct partner) as n_partners, median(weight)::double as median_weight from sides group by side, type""",
     "p4_found": f"with {_REFS} select table_name, field, row_id, ref from orphans",
     "p4_report": f"""with {_REFS}, refs as (select * from network_refs where ref is not null union all select * from type_refs),

@@ -11,7 +11,7 @@ from weft.operators import graph as G
 from weft.operators import profiles as P
 from weft.plans import views as V
 from weft.plans.compare import _SCORES, _scores
-from weft.plans.core_problems import _CURRENT
+from weft.plans.core_problems import SQL_CURRENT
 from weft.plans.graphs import _HEAVY, _PATHS, _SRC, _TGT, _ends, _heavy
 from weft.plans.registry import Registry
 from weft.session import table
@@ -109,7 +109,7 @@ def f19_path_keywords(spark: SparkSession, d: str) -> DataFrame:
     return paths.select("path", F.col("path").contains("Nok").alias("excluded"))
 
 
-@R.add(f"select distinct flywire_type as name, n.type from flywire_types f join {_CURRENT} n on n.flywireType = f.flywire_type where f.super_class = 'motor' and n.type is not null")
+@R.add(f"select distinct flywire_type as name, n.type from flywire_types f join {SQL_CURRENT} n on n.flywireType = f.flywire_type where f.super_class = 'motor' and n.type is not null")
 def f26_taxonomy(spark: SparkSession, d: str) -> DataFrame:
     """the types under a value of the taxonomy."""
     f = table(spark, d, "flywire_types").where("super_class = 'motor'").select(F.col("flywire_type").alias("name"))
@@ -136,7 +136,7 @@ def j13_route_scope(spark: SparkSession, d: str) -> DataFrame:
     return e.join(scope, ["a", "b"], "left_semi").groupBy(F.col("a").alias("pre"), F.col("b").alias("post")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("weight") >= 5, F.col("weight"))).alias("strong"))
 
 
-@R.add(f"select bodyId from {_CURRENT} where (ends_with(type, '19') or ends_with(instance, '19')) and not contains(type, 'Nok') and not contains(instance, 'Nok')")
+@R.add(f"select bodyId from {SQL_CURRENT} where (ends_with(type, '19') or ends_with(instance, '19')) and not contains(type, 'Nok') and not contains(instance, 'Nok')")
 def f02_negative_filter(spark: SparkSession, d: str) -> DataFrame:
     """negative operators never match null."""
     n = current_neurons(spark, d, "type", "instance")

@@ -10,7 +10,7 @@ from weft.operators import edges as E
 from weft.operators import filters, lines, mapping, profiles, similarity
 from weft.operators.topn import top_n
 from weft.plans import views as V
-from weft.plans.core_problems import _CURRENT, sql_bare, sql_canonical, sql_untyped
+from weft.plans.core_problems import SQL_CURRENT, sql_bare, sql_canonical, sql_untyped
 from weft.plans.registry import Registry
 from weft.session import table
 from weft.sources import formats
@@ -26,13 +26,13 @@ def sc01_pair_mass(spark: SparkSession, d: str) -> DataFrame:
     return E.pair_mass(V.slices(spark, d), 5)
 
 
-@R.add(f"select bodyId, type, instance, row_id from {_CURRENT} where trim(type) <> ''")
+@R.add(f"select bodyId, type, instance, row_id from {SQL_CURRENT} where trim(type) <> ''")
 def sc02_current_nodes(spark: SparkSession, d: str) -> DataFrame:
     """SC2: the newest row per node, empty types dropped."""
     return current_neurons(spark, d, "type", "instance").where("trim(type) <> ''").select("bodyId", "type", "instance", "row_id")
 
 
-@R.add(f"""with n as {_CURRENT}, f as (select flywire_type as name, min(super_class) as super_class from flywire_types group by 1)
+@R.add(f"""with n as {SQL_CURRENT}, f as (select flywire_type as name, min(super_class) as super_class from flywire_types group by 1)
 select n.bodyId, coalesce(nullif(trim(n.type), ''), nullif(trim(f.super_class), ''), nullif(trim(n.status), ''), 'Unknown') as type from n left join f on n.flywireType = f.name""")
 def sc10_type_chain(spark: SparkSession, d: str) -> DataFrame:
     """SC10: enrichment by left joins, then the first type that is known."""
@@ -48,13 +48,13 @@ def sc11_converted_edges(spark: SparkSession, d: str) -> DataFrame:
     return formats.converted_edges(network(spark, d))
 
 
-@R.add(f"with {V.PAIRS}, n as {_CURRENT} select n.bodyId, coalesce(t.w, 0)::bigint as post from n left join (select post, sum(weight)::bigint as w from pairs group by 1) t on n.bodyId = t.post")
+@R.add(f"with {V.PAIRS}, n as {SQL_CURRENT} select n.bodyId, coalesce(t.w, 0)::bigint as post from n left join (select post, sum(weight)::bigint as w from pairs group by 1) t on n.bodyId = t.post")
 def sc14_post_backfill(spark: SparkSession, d: str) -> DataFrame:
     """SC14: counts of received weight from the edge table."""
     return formats.backfilled(current_neurons(spark, d, "post"), V.pairs(spark, d)).select("bodyId", "post")
 
 
-@R.add(f"with {V.PAIRS}, n as {_CURRENT} select n.bodyId, coalesce(t.c, 0)::bigint as out_degree from n left join (select pre, count(*) as c from pairs group by 1) t on n.bodyId = t.pre")
+@R.add(f"with {V.PAIRS}, n as {SQL_CURRENT} select n.bodyId, coalesce(t.c, 0)::bigint as out_degree from n left join (select pre, count(*) as c from pairs group by 1) t on n.bodyId = t.pre")
 def sc16_completeness(spark: SparkSession, d: str) -> DataFrame:
     """SC16: out-degree per node, 0 for nodes without edges."""
     out = V.pairs(spark, d).groupBy(F.col("pre").alias("bodyId")).agg(F.count(F.lit(1)).alias("out_degree"))
@@ -68,7 +68,7 @@ def sc21_search_index(spark: SparkSession, d: str) -> DataFrame:
     return filters.search_index(table(spark, d, "male_cns_neuron_df"), ["type", "instance", "status"]).select("column", "priority", "value", "folded", F.size("rows").cast("bigint").alias("n_rows"), F.element_at("rows", 1).alias("first_row"))
 
 
-@R.add(f"""with {V.PAIRS}, wanted as (select distinct bodyId as pre from {_CURRENT} where status = 'anchor')
+@R.add(f"""with {V.PAIRS}, wanted as (select distinct bodyId as pre from {SQL_CURRENT} where status = 'anchor')
 select 'hit' as kind, pre, count(*) as n from pairs where pre in (select pre from wanted) group by 2 union all select 'miss', pre, 0 from wanted where pre not in (select pre from pairs)""")
 def sc23_cache_hits(spark: SparkSession, d: str) -> DataFrame:
     """SC23: what a cache holds of a request, and what it lacks."""
@@ -83,7 +83,7 @@ def sc30_label_members(spark: SparkSession, d: str) -> DataFrame:
     return formats.label_members(table(spark, d, "example_label_mapping").select(F.col("custom_label").alias("label"), "dataset", "role", "member_kind", F.col("member").alias("members")))
 
 
-@R.add(f"select bodyId from {_CURRENT} where (contains(type, 'Nok') or contains(instance, 'Nok')) and (regexp_matches(type, '[0-9]+a$') or regexp_matches(instance, '[0-9]+a$')) and type is not null and not contains(type, 'zzz') and instance is not null and not contains(instance, 'zzz')")
+@R.add(f"select bodyId from {SQL_CURRENT} where (contains(type, 'Nok') or contains(instance, 'Nok')) and (regexp_matches(type, '[0-9]+a$') or regexp_matches(instance, '[0-9]+a$')) and type is not null and not contains(type, 'zzz') and instance is not null and not contains(instance, 'zzz')")
 def f01_structured_filter(spark: SparkSession, d: str) -> DataFrame:
     """The dictionary filter."""
     n = current_neurons(spark, d, "type", "instance")
@@ -93,7 +93,7 @@ def f01_structured_filter(spark: SparkSession, d: str) -> DataFrame:
 _TOKENS = "(values ('lNokfupi19'), ('mDemmamlur24_L'), ('traced'), ('no such name')) as t(token)"
 
 
-@R.add(f"""with n as {_CURRENT}, hits as (select token, bodyId, 0 as p, 'type' as hit from n, {_TOKENS} where type = token union all select token, bodyId, 1, 'instance' from n, {_TOKENS} where instance = token union all select token, bodyId, 2, 'status' from n, {_TOKENS} where status = token)
+@R.add(f"""with n as {SQL_CURRENT}, hits as (select token, bodyId, 0 as p, 'type' as hit from n, {_TOKENS} where type = token union all select token, bodyId, 1, 'instance' from n, {_TOKENS} where instance = token union all select token, bodyId, 2, 'status' from n, {_TOKENS} where status = token)
 select token, bodyId, hit from hits h where p = (select min(p) from hits g where g.token = h.token) union all select token, null, 'none' from {_TOKENS} where token not in (select token from hits)""")
 def f04_resolve_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens resolved by the first column that knows them."""
@@ -101,7 +101,7 @@ def f04_resolve_tokens(spark: SparkSession, d: str) -> DataFrame:
     return filters.resolve_tokens(current_neurons(spark, d, "type", "instance", "status"), tokens, ["type", "instance", "status"])
 
 
-@R.add(f"""with n as {_CURRENT}, s as (select bodyId, case when starts_with(lower(type), 'fupi') then 0 when starts_with(lower(instance), 'fupi') then 1 else 2 end as stage,
+@R.add(f"""with n as {SQL_CURRENT}, s as (select bodyId, case when starts_with(lower(type), 'fupi') then 0 when starts_with(lower(instance), 'fupi') then 1 else 2 end as stage,
   case when starts_with(lower(type), 'fupi') then type when starts_with(lower(instance), 'fupi') then instance when contains(lower(type), 'fupi') then type when contains(lower(instance), 'fupi') then instance end as value from n)
 select bodyId, stage, value from (select * from s where value is not null and stage = (select min(stage) from s where value is not null) order by stage, value, bodyId limit 50)""")
 def f06_staged_search(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,7 @@ def f06_staged_search(spark: SparkSession, d: str) -> DataFrame:
     return filters.staged_search(current_neurons(spark, d, "type", "instance"), "fupi", ["type", "instance"], 50)
 
 
-@R.add(f"select distinct type from {_CURRENT} where starts_with(instance, 'm')")
+@R.add(f"select distinct type from {SQL_CURRENT} where starts_with(instance, 'm')")
 def f11_types_of_query(spark: SparkSession, d: str) -> DataFrame:
     """Info, types, ids and instances of a query."""
     n = current_neurons(spark, d, "type", "instance")
@@ -122,7 +122,7 @@ def f15_untyped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "male_cns_neuron_df").select("row_id", labels.is_untyped(F.col("flywireType")).alias("untyped"))
 
 
-@R.add(f"""with {V.PAIRS}, n as {_CURRENT}, t as (select bodyId, type, coalesce(nullif(trim(somaSide), ''), 'U') as side, {sql_untyped(sql_bare('type'))} as u from n)
+@R.add(f"""with {V.PAIRS}, n as {SQL_CURRENT}, t as (select bodyId, type, coalesce(nullif(trim(somaSide), ''), 'U') as side, {sql_untyped(sql_bare('type'))} as u from n)
 select p.pre, p.post, p.weight, a.type as type_pre, b.type as type_post from pairs p join t a on p.pre = a.bodyId join t b on p.post = b.bodyId where not a.u and not b.u and a.type <> b.type and a.side in ('L', 'U') and b.side in ('L', 'U')""")
 def f16_admitted_edges(spark: SparkSession, d: str) -> DataFrame:
     """Guards on edges."""
@@ -130,7 +130,7 @@ def f16_admitted_edges(spark: SparkSession, d: str) -> DataFrame:
     return filters.admit_edges(V.pairs(spark, d), t, True, True, "L")
 
 
-@R.add(f"with {V.PAIRS}, n as {_CURRENT} select pre, post, weight from pairs where pre not in (select bodyId from n where status = 'traced')")
+@R.add(f"with {V.PAIRS}, n as {SQL_CURRENT} select pre, post, weight from pairs where pre not in (select bodyId from n where status = 'traced')")
 def f18_without_searched(spark: SparkSession, d: str) -> DataFrame:
     """edges without the sources that were searched."""
     seen = current_neurons(spark, d, "status").where("status = 'traced'").select(F.col("bodyId").alias("pre"))
@@ -155,7 +155,7 @@ def f27_canonical_ids(spark: SparkSession, d: str) -> DataFrame:
     return network(spark, d).select("row_id", labels.canonical_id(F.col("bodyId_pre")).alias("pre"), labels.canonical_id(F.col("bodyId_post")).alias("post"))
 
 
-_LABELS = "l as (select bodyId, case when not u then type end as label from (select bodyId, type, " + sql_untyped(sql_bare("type")) + f" as u from {_CURRENT}))"
+_LABELS = "l as (select bodyId, case when not u then type end as label from (select bodyId, type, " + sql_untyped(sql_bare("type")) + f" as u from {SQL_CURRENT}))"
 
 
 @R.add(f"""with {V.PAIRS}, {_LABELS}, tot as (select post, sum(weight) as total from pairs group by 1), e as (select p.*, p.weight / tot.total as r from pairs p join tot using (post)),
@@ -286,14 +286,14 @@ def a33_density_curve(spark: SparkSession, d: str) -> DataFrame:
     return E.density_curve(V.pairs(spark, d), [1, 2, 3, 5, 8, 13, 21, 34, 55, 89])
 
 
-@R.add(f"with n as {_CURRENT} select count(*) as n_neurons, count(*) filter (not {sql_untyped(sql_bare('type'))}) as n_typed, sum(pre)::bigint as pre, sum(post)::bigint as post, round(sum(pre) / count(*), 6) as pre_per_neuron from n")
+@R.add(f"with n as {SQL_CURRENT} select count(*) as n_neurons, count(*) filter (not {sql_untyped(sql_bare('type'))}) as n_typed, sum(pre)::bigint as pre, sum(post)::bigint as post, round(sum(pre) / count(*), 6) as pre_per_neuron from n")
 def a34_metadata(spark: SparkSession, d: str) -> DataFrame:
     """The totals of a dataset."""
     n = current_neurons(spark, d, "type", "pre", "post")
     return n.agg(F.count(F.lit(1)).alias("n_neurons"), F.count_if(~labels.is_untyped(F.col("type"))).alias("n_typed"), F.sum("pre").alias("pre"), F.sum("post").alias("post"), F.round(F.sum("pre") / F.count(F.lit(1)), 6).alias("pre_per_neuron"))
 
 
-_NT = f"with n as {_CURRENT}, c as (select type, consensusNt as nt, count(*) as k from n where type is not null and consensusNt is not null group by 1, 2)"
+_NT = f"with n as {SQL_CURRENT}, c as (select type, consensusNt as nt, count(*) as k from n where type is not null and consensusNt is not null group by 1, 2)"
 
 
 @R.add(f"{_NT} select type, nt from (select *, row_number() over (partition by type order by k desc, nt) as r from c) where r = 1")
@@ -308,7 +308,7 @@ def j20_reciprocal(spark: SparkSession, d: str) -> DataFrame:
     return E.reciprocal(V.pairs(spark, d))
 
 
-@R.add(f"""with {V.PAIRS}, n as (select bodyId, instance from {_CURRENT}), e as (select a.instance as p, b.instance as q, weight from pairs join n a on pre = a.bodyId join n b on post = b.bodyId where regexp_matches(a.instance, '_[LR]$') and regexp_matches(b.instance, '_[LR]$')),
+@R.add(f"""with {V.PAIRS}, n as (select bodyId, instance from {SQL_CURRENT}), e as (select a.instance as p, b.instance as q, weight from pairs join n a on pre = a.bodyId join n b on post = b.bodyId where regexp_matches(a.instance, '_[LR]$') and regexp_matches(b.instance, '_[LR]$')),
 g as (select p[:-3] as base_pre, q[:-3] as base_post, case when p[-1] = q[-1] then 'ipsi' else 'contra' end as kind, sum(case when p[-1] = 'L' then weight else 0 end)::bigint as "left", sum(case when p[-1] = 'R' then weight else 0 end)::bigint as "right" from e group by 1, 2, 3)
 select *, "left" > 0 and "right" > 0 as conserved, round(least("left", "right") / greatest("left", "right"), 9) as ratio, abs("left" - "right") as diff from g""")
 def j21_mirror_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -318,14 +318,14 @@ def j21_mirror_pairs(spark: SparkSession, d: str) -> DataFrame:
     return E.mirror_pairs(e.select(F.col("p").alias("pre"), F.col("q").alias("post"), "weight"))
 
 
-@R.add(f"with {V.PAIRS}, n as {_CURRENT} select pre, post, weight from pairs where pre in (select bodyId from n where status = 'anchor') and post in (select bodyId from n where somaSide = 'L')")
+@R.add(f"with {V.PAIRS}, n as {SQL_CURRENT} select pre, post, weight from pairs where pre in (select bodyId from n where status = 'anchor') and post in (select bodyId from n where somaSide = 'L')")
 def g44_direct(spark: SparkSession, d: str) -> DataFrame:
     """Edges from sources to targets."""
     n = current_neurons(spark, d, "status", "somaSide")
     return E.direct(V.pairs(spark, d), n.where("status = 'anchor'").select(F.col("bodyId").alias("pre")), n.where("somaSide = 'L'").select(F.col("bodyId").alias("post"))).select("pre", "post", "weight")
 
 
-@R.add(f"with {V.PAIRS}, n as (select bodyId from {_CURRENT} where somaSide = 'R') select pre, post, weight from pairs where pre in (select * from n) and post in (select * from n) and pre <> post")
+@R.add(f"with {V.PAIRS}, n as (select bodyId from {SQL_CURRENT} where somaSide = 'R') select pre, post, weight from pairs where pre in (select * from n) and post in (select * from n) and pre <> post")
 def g45_network_of(spark: SparkSession, d: str) -> DataFrame:
     """The network among one set."""
     return E.network_of(V.pairs(spark, d), current_neurons(spark, d, "somaSide").where("somaSide = 'R'")).select("pre", "post", "weight")
@@ -395,7 +395,7 @@ def x07_labels(spark: SparkSession, d: str) -> DataFrame:
     return n.select("n_name", F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.expr("substring(n_name, 2)"))).alias("display"), F.concat(F.lit("["), F.array_join(F.array("n_name", "r_name"), ", "), F.lit("]")).alias("cell"), F.sha2(F.concat_ws("|", "n_name", "r_name"), 256).alias("key"))
 
 
-@R.add(f"with n as {_CURRENT}, x as (select bodyId, unnest(string_split(hemibrainType, ',')) as c from n), b as (select distinct bodyId, {sql_bare('c')} as name from x) select bodyId, name from b where not {sql_untyped('name')}")
+@R.add(f"with n as {SQL_CURRENT}, x as (select bodyId, unnest(string_split(hemibrainType, ',')) as c from n), b as (select distinct bodyId, {sql_bare('c')} as name from x) select bodyId, name from b where not {sql_untyped('name')}")
 def x03_cell_names(spark: SparkSession, d: str) -> DataFrame:
     """Names of comma-joined cells."""
     return current_neurons(spark, d, "hemibrainType").select("bodyId", F.explode(labels.cell_names(F.col("hemibrainType"))).alias("name"))
@@ -406,7 +406,7 @@ def _walk(spark: SparkSession, d: str, column: str) -> DataFrame:
 
 
 def _sql_walk(column: str, name: str) -> str:
-    return f"""{name}_v as (select distinct bodyId, type as source_name, {sql_bare('c')} as target_name from (select bodyId, type, unnest(string_split({column}, ',')) as c from {_CURRENT} where not {sql_untyped(sql_bare('type'))})),
+    return f"""{name}_v as (select distinct bodyId, type as source_name, {sql_bare('c')} as target_name from (select bodyId, type, unnest(string_split({column}, ',')) as c from {SQL_CURRENT} where not {sql_untyped(sql_bare('type'))})),
 {name}_p as (select source_name, target_name, count(*) as votes from {name}_v where not {sql_untyped('target_name')} group by 1, 2),
 {name} as (select *, count(*) over (partition by source_name) as n_targets, count(*) over (partition by target_name) as n_sources from {name}_p)"""
 
@@ -445,7 +445,7 @@ def e06_mapping_status(spark: SparkSession, d: str) -> DataFrame:
     return mapping.mapping_status(table(spark, d, "canonical_types").select(F.col("type").alias("name")), _walk(spark, d, "mancType"))
 
 
-@R.add(f"""with n as (select bodyId, type, instance from {_CURRENT}), m as (select member_kind, member, min(custom_label) as label from example_label_mapping where dataset = 'male-cns' and custom_label is not null and member is not null group by 1, 2)
+@R.add(f"""with n as (select bodyId, type, instance from {SQL_CURRENT}), m as (select member_kind, member, min(custom_label) as label from example_label_mapping where dataset = 'male-cns' and custom_label is not null and member is not null group by 1, 2)
 select bodyId, coalesce(a.label, b.label || coalesce(regexp_extract(type, '(_[LRU])$', 1), ''), c.label, type, bodyId) as label from n left join m a on a.member_kind = 'bodyId' and a.member = bodyId left join m b on b.member_kind = 'type' and b.member = regexp_replace(type, '_[LRU]$', '') left join m c on c.member_kind = 'instance' and c.member = instance""")
 def e01_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels by id, type or instance."""
@@ -454,7 +454,7 @@ def e01_labels(spark: SparkSession, d: str) -> DataFrame:
     return mapping.apply_labels(nodes, members).select("bodyId", "label")
 
 
-@R.add(f"""with n as (select bodyId, type, case when somaSide = 'L' then type || '_left' when bodyId[-1] = '7' then 'lNokfupi19' end as label from {_CURRENT} where type is not null), g as (select type, count(*) as c, count(label) as l from n group by 1)
+@R.add(f"""with n as (select bodyId, type, case when somaSide = 'L' then type || '_left' when bodyId[-1] = '7' then 'lNokfupi19' end as label from {SQL_CURRENT} where type is not null), g as (select type, count(*) as c, count(label) as l from n group by 1)
 select bodyId, coalesce(label, case when l < c and (l > 0 or n.type in (select label from n where label is not null)) then n.type || '*' end, n.type) as effective from n join g on n.type = g.type""")
 def e03_residual(spark: SparkSession, d: str) -> DataFrame:
     """The rest of partly labelled types."""

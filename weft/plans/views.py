@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions.labels import canonical_id, is_untyped
-from weft.plans.core_problems import _CURRENT, sql_bare, sql_canonical, sql_untyped
+from weft.plans.core_problems import SQL_CURRENT, sql_bare, sql_canonical, sql_untyped
 from weft.session import table
 from weft.sources.tables import current_neurons, network
 
@@ -60,7 +60,7 @@ def matches(spark: SparkSession, d: str) -> DataFrame:
 
 SLICES = f"""slices as (select pre, post, roi, weight from (select distinct {sql_canonical('bodyId_pre')} as pre, {sql_canonical('bodyId_post')} as post, roi, weight, cached_date from example_bodyid_network) where pre is not null and post is not null and weight is not null)"""
 PAIRS = f"{SLICES}, pairs as (select pre, post, sum(weight)::bigint as weight from slices group by pre, post having sum(weight) > 0)"
-TYPES = f"types as (select bodyId, type from {_CURRENT} where not {sql_untyped(sql_bare('type'))})"
+TYPES = f"types as (select bodyId, type from {SQL_CURRENT} where not {sql_untyped(sql_bare('type'))})"
 TYPE_EDGES = f"{PAIRS}, {TYPES}, type_edges as (select a.type as pre, b.type as post, sum(weight)::bigint as weight from pairs join types a on pre = a.bodyId join types b on post = b.bodyId group by 1, 2)"
 NATION_EDGES = """nation_edges as (select o_orderstatus as dataset, c_nationkey::varchar as pre, s_nationkey::varchar as post, l_returnflag as roi, count(*)::bigint as weight
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by all)"""
