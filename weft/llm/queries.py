@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.labels import cell_names, is_untyped, strip
 from weft.llm import canonical_match, components, mixing, packing, set_join, text_quality
+from weft.plans.core_problems import SQL_CURRENT, sql_bare, sql_strip, sql_untyped
 from weft.session import table
 from weft.sources.tables import current_neurons
 
@@ -89,4 +90,21 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p5_found, p5_classes, p7_packing, p7_fill, p8_choice, p8_shares, p9_statistics, p9_found)}
-SQL: dict[str, str] = {}
+_SETS = f"""cells as (select profile_id, unnest(['upstream', 'downstream']) as direction, unnest([upstream_partners, downstream_partners]) as j from connectivity_profile),
+kv as (select direction, profile_id, unnest(map_entries(cast(cast(j as json) as map(varchar, double)))) as e from cells where j is not null),
+sets as (select distinct direction, profile_id, {sql_strip('e.key')} as t from kv where e.value > 0 and not {sql_untyped(sql_bare('e.key'))}),
+sizes as (select direction, profile_id, count(*) as n from sets group by all),
+pairs as (select a.direction, a.profile_id as profile_id_a, b.profile_id as profile_id_b, count(*) as c from sets a join sets b on a.direction = b.direction and a.t = b.t and a.profile_id < b.profile_id group by all),
+alike as (select p.direction, profile_id_a, profile_id_b from pairs p join sizes x on x.direction = p.direction and x.profile_id = profile_id_a join sizes y on y.direction = p.direction and y.profile_id = profile_id_b where c * 10 >= (x.n + y.n - c) * 7)"""
+_CELLS = " union ".join(f"select bodyId as id, '{c}:' || x as name from (select bodyId, {sql_bare('y')} as x from (select bodyId, unnest(string_split({c}, ',')) as y from {SQL_CURRENT})) where not {sql_untyped('x')}" for c in ("flywireType", "hemibrainType", "mancType"))
+
+SQL: dict[str, str] = {
+    "p3_found": f"""with recursive names as ({_CELLS}), links as (select distinct a.id as x, b.id as y from names a join names b on a.name = b.name), reach as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x)
+select x as bodyId, min(y::decimal(38, 0))::varchar as group_id from reach group by x having count(*) >= 2""",
+    "p5_found": f"with {_SETS} select * from alike",
+    "p5_classes": f"""with {_SETS}, tok as (select direction, profile_id, list_sort(list(t)) as ts from sets group by all),
+cls as (select direction, profile_id, min(profile_id) over (partition by direction, ts) as class_id, count(*) over (partition by direction, ts) as n_copies from tok),
+reps as (select direction, profile_id from cls where profile_id = class_id), ends as (select direction, unnest([profile_id_a, profile_id_b]) as class_id from alike a where exists (select 1 from reps r where r.direction = a.direction and r.profile_id = profile_id_a) and exists (select 1 from reps r where r.direction = a.direction and r.profile_id = profile_id_b)),
+n as (select direction, class_id, count(*) as n_links from ends group by all)
+select c.direction, profile_id, c.class_id, n_copies, coalesce(n_links, 0)::bigint as n_links from cls c left join n on n.direction = c.direction and n.class_id = c.class_id""",
+}
