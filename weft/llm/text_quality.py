@@ -90,26 +90,38 @@ def common_pattern(common: DataFrame) -> str:
     return r"(?<![\p{L}\p{N}_])" + (_trie(sorted(words)) if words else "(?!)") + r"(?![\p{L}\p{N}_])"
 
 
-def _line_stats(raw: Column) -> Column:
-    """What one line is: characters, words, and of what kind its characters count."""
-    line = F.rtrim(raw)
-    n = F.length(strip(raw))
-    words = F.regexp_count(line, F.lit(r"\S+"))
+def _line_facts(raw: Column) -> Column:
+    """What one line holds. Patterns are only tried on lines with the characters that they need."""
+    line, bare = F.rtrim(raw), strip(raw)
+    n = F.length(bare)
     count = lambda p: F.regexp_count(line, F.lit(p))
-    numeric = {d: count(rf"(?:^|(?<={d}))[ ]*{_NUMBER}[ ]*(?={d}|$)") for d in (",", ";")}
-    framed = line.rlike(r"^\s*\|.*\|\s*$") | line.rlike(r"^\s*[+|][-+|:= ]{4,}$")
-    columns = (count(r"\S(?: {2,}|\t)(?=\S)") >= 2) & (words <= 4 * (count(r"\S(?: {2,}|\t)(?=\S)") + 1)) & ~line.rlike(r"[.!?] {2,}\p{Lu}")
+    ifhas = lambda c, x: F.when(line.contains(c), x).otherwise(0)
+    gap = line.contains("  ") | line.contains("\t")
+    numeric = lambda d: count(rf"(?:^|(?<={d}))[ ]*{_NUMBER}[ ]*(?={d}|$)")
+    loose = lambda d: F.when(line.contains(d), bare.rlike(rf"(?<!{d})\s")).otherwise(True)
+    return F.struct(
+        n.alias("n"), F.when(gap | (n <= 40), count(r"\S+")).otherwise(99).alias("words"), F.when(gap, count(r"\S(?: {2,}|\t)(?=\S)")).otherwise(0).alias("gaps"), F.when(gap, line.rlike(r"[.!?] {2,}\p{Lu}")).otherwise(False).alias("sentences"),
+        *[x for d, name in ((",", "comma"), (";", "semi")) for x in (ifhas(d, count(d)).alias(name), ifhas(d, numeric(d)).alias(f"{name}_num"), loose(d).alias(f"{name}_loose"))], (gap | bare.contains(" ")).alias("spaced"),
+        ifhas("\t", count("\t")).alias("tabs"), ifhas("\t", F.when(line.rlike(rf"\t{_NUMBER}$"), 1).otherwise(0)).alias("tab_num"), ifhas(" | ", count(r" \| ")).alias("pipes"), ifhas(" | ", count(rf"(?:^|\| ){_NUMBER}(?= \||$)")).alias("pipe_num"), (line.contains(" & ") & line.endswith("\\\\")).alias("latex"),
+        F.when(line.contains("|") | line.contains("+"), line.rlike(r"^\s*\|.*\|\s*$") | line.rlike(r"^\s*[+|][-+|:= ]{4,}$")).otherwise(False).alias("framed"),
+        (F.when(line.contains("="), line.rlike(r"(?:[0-9]{2}:[0-9]{2}:[0-9]{2}.*\S=\S)|(?:(?:^|\s)\S+=\S+\s.*\s\S+=\S+)")).otherwise(False) | F.when(n >= 24, line.rlike(r"[0-9a-fA-F]{24,}|^(?=.*[A-Za-z0-9]{16})[A-Za-z0-9+/=_-]{40,}$|0x[0-9a-fA-F]{4,}.*0x[0-9a-fA-F]{4,}")).otherwise(False)).alias("machine"),
+        (line.rlike(_MARKER) | F.when(n <= 60, line.rlike(r"^\s*(?:\S{1,20} = |\p{Lu}\S{0,19}: )\S")).otherwise(False)).alias("marked"), bare.startswith("#").alias("heading"), F.substring(bare, -1, 1).isin(*".!?:;…。\"”»)").alias("stop"),
+    )
+
+
+def _line_kinds() -> Column:
+    """From the facts: the characters of the line that count for each kind."""
+    c = F.col
     split = F.lit(False)
-    for d, pattern in ((",", ","), (";", ";")):
-        split = split | ((count(pattern) >= 2) & (numeric[d] * 3 >= count(pattern) + 1) & (numeric[d] >= 2))
+    for name in ("comma", "semi"):
+        several = (c(name) >= 2) & (c(f"{name}_num") * 3 >= c(name) + 1) & (c(f"{name}_num") >= 2)
         # blanks only after the separators, or none at all
-        split = split | ((count(pattern) >= 2) & ~strip(raw).rlike(rf"(?<!{d})\s") & ((numeric[d] >= 1) | ~strip(raw).rlike(r"\s")))
-    tabs, pipes, amps = count("\t"), count(r" \| "), count(" & ")
-    is_table = framed | columns | split | (tabs >= 2) | ((amps >= 1) & line.rlike(r"\\\\\s*$")) | ((pipes >= 2) & (count(rf"(?:^|\| ){_NUMBER}(?= \||$)") >= 1)) | ((tabs == 1) & line.rlike(rf"\t{_NUMBER}$"))
-    machine = line.rlike(r"(?:[0-9]{2}:[0-9]{2}:[0-9]{2}.*\S=\S)|(?:(?:^|\s)\S+=\S+\s.*\s\S+=\S+)|[0-9a-fA-F]{24,}|^(?=.*[A-Za-z0-9]{16})[A-Za-z0-9+/=_-]{40,}$|0x[0-9a-fA-F]{4,}.*0x[0-9a-fA-F]{4,}")
-    marked = line.rlike(_MARKER) | ((n <= 60) & line.rlike(r"^\s*(?:\S{1,20} = |\p{Lu}\S{0,19}: )\S"))
-    short = (n <= 40) & (words <= 5) & ~line.rlike(r"^\s*#")
-    return F.struct(n.alias("n"), F.when(is_table & ~machine, n).otherwise(0).alias("table"), F.when(machine, n).otherwise(0).alias("machine"), F.when(marked & ~machine & ~framed, n).otherwise(0).alias("marked"), F.when(short & ~marked & ~machine & ~is_table, n).otherwise(0).alias("short"), F.when(line.rlike(r"[.!?:;…。\"”»)]\s*$"), 1).otherwise(0).alias("stop"))
+        split = split | several | ((c(name) >= 2) & ~c(f"{name}_loose") & ((c(f"{name}_num") >= 1) | ~c("spaced")))
+    columns = (c("gaps") >= 2) & (c("words") <= 4 * (c("gaps") + 1)) & ~c("sentences")
+    table = c("framed") | columns | split | (c("tabs") >= 2) | c("latex") | ((c("pipes") >= 2) & (c("pipe_num") >= 1)) | ((c("tabs") == 1) & (c("tab_num") == 1))
+    short = (c("n") <= 40) & (c("words") <= 5) & ~c("heading")
+    size = lambda x: F.when(x, c("n")).otherwise(0)
+    return F.struct(size(table & ~c("machine")).alias("table"), size(c("machine")).alias("machine_chars"), size(c("marked") & ~c("machine") & ~c("framed")).alias("marked_chars"), size(short & ~c("marked") & ~c("machine") & ~table).alias("short"))
 
 
 def text_statistics(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,16 +131,18 @@ def text_statistics(docs: DataFrame, common: DataFrame, id_col: str = "doc_id",
     """
     clean = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.regexp_replace(F.col(text), r"\r\n?", "\n").alias("t")).where(F.col("t").rlike(r"\S"))
     clean = spread(clean.select("doc_id", "t", F.xxhash64("t").alias("h")))
-    lines = clean.select("doc_id", "h", F.explode(F.split("t", "\n")).alias("line")).where(F.col("line").rlike(r"\S"))
-    described = lines.select("doc_id", "h", "line", F.inline(F.array(_line_stats(F.col("line")))))
-    per_line = described.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("all_lines"), F.sum("n").alias("line_chars"), *[F.sum(c).alias(f"c_{c}") for c in ("table", "machine", "marked", "short")], F.sum("stop").alias("n_stop"))
+    lines = clean.select("doc_id", "h", F.explode(F.split("t", "\n")).alias("line")).where(strip(F.col("line")) != "")
+    # inline of one element keeps the facts from being worked out once for every use
+    facts = lines.select("doc_id", "h", F.inline(F.array(_line_facts(F.col("line")))))
+    described = facts.select("doc_id", "h", "n", "stop", F.inline(F.array(_line_kinds())))
+    per_line = described.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("all_lines"), F.sum("n").alias("line_chars"), *[F.sum(c).alias(f"c_{c.removesuffix('_chars')}") for c in ("table", "machine_chars", "marked_chars", "short")], F.count_if("stop").alias("n_stop"))
     t = F.col("t")
     count = lambda p: F.regexp_count(t, F.lit(p))
     words = F.filter(F.split(F.lower(t), r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w != "")
-    parts = F.filter(F.transform(F.split(t, r"[.!?\n]+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(t, r"[.!?\n]+"), strip), lambda x: x != "")
     whole = clean.select(
-        "doc_id", "h", F.length("t").alias("n_chars"), F.size(F.filter(F.split("t", "\n"), lambda x: x.rlike(r"\S"))).alias("n_lines"), count(r"\S+").alias("n_words"), F.regexp_count(F.lower(t), F.lit(common_pattern(common))).alias("n_common"),
-        count(r"[\p{L}\p{M}]+").alias("n_alpha"), F.length(F.regexp_replace(t, r"[^\p{L}\p{M}]", "")).alias("letters"), F.length(F.regexp_replace(t, r"[\p{L}\p{M}\p{N}\s]", "")).alias("symbols"), F.length(F.regexp_replace(t, r"[^0-9]", "")).alias("digits"), F.length(F.regexp_replace(t, r"\s", "")).alias("solid"),
+        "doc_id", "h", F.length("t").alias("n_chars"), F.size(F.filter(F.split("t", "\n"), lambda x: strip(x) != "")).alias("n_lines"), count(r"\S+").alias("n_words"), F.regexp_count(F.lower(t), F.lit(common_pattern(common))).alias("n_common"),
+        count(r"[\p{L}\p{M}]+").alias("n_alpha"), F.length(F.regexp_replace(t, r"[^\p{L}\p{M}]+", "")).alias("letters"), F.length(F.regexp_replace(t, r"[\p{L}\p{M}\p{N}\s]+", "")).alias("symbols"), F.length(F.regexp_replace(t, r"[^0-9]+", "")).alias("digits"), F.length(F.regexp_replace(t, r"\s+", "")).alias("solid"),
         count(r"[ÂÃâ€�¬©§¼½¾¤¶¦\x{80}-\x{9f}]").alias("odd"), count(r"[\p{L}][~^_*<>{}\[\]\\|!;:'`@#$%=+]+[\p{L}]|(?<!\S)[~^_*<>{}\\|!;:@$%=]+[\p{L}]|[\p{L}][~^_*<>{}\\|@$%=]+(?!\S)").alias("scrambled"),
         count(r"[.,;:!?…](?=\s|$)").alias("stops"), count(r"[,;|](?=\s)").alias("seps"), F.size(words).alias("w"), F.size(F.array_distinct(words)).alias("w_distinct"), F.size(parts).alias("p"), F.size(F.array_distinct(parts)).alias("p_distinct"),
     )
