@@ -12,7 +12,7 @@ from weft.operators import skeleton, vectors
 from weft.plans import views as V
 from weft.plans.registry import Registry
 from weft.plans.relational import LONG, _long
-from weft.session import table
+from weft.session import spread, table
 from weft.sources.tables import network
 
 R = Registry()
@@ -116,6 +116,12 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     return P.score_pairs(p.where(F.col("entity").cast("bigint") % 20 == 0), p)
 
 
+def _all_scores(spark: SparkSession, d: str) -> DataFrame:
+    """All entities against all, for what needs every source: the best source of a target, and pools."""
+    p = spread(V.profiles(spark, d), "entity")
+    return P.score_pairs(p, p)
+
+
 @R.add(f"with {_SCORES} select * from scores")
 def m16_profile_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every twentieth entity against all."""
@@ -139,8 +145,8 @@ def w07_top_union(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"""with {_SCORES}, s as (select * from scores where source <> target), f as (select *, row_number() over (partition by source order by jaccard desc nulls last, rank_union desc nulls last, target) as f from s), b as (select *, row_number() over (partition by target order by jaccard desc nulls last, rank_union desc nulls last, source) as b from s) select f.source, f.target, f.jaccard, f.rank_union from f join b on f.source = b.source and f.target = b.target where f = 1 and b = 1""")
 def j19_mutual_best(spark: SparkSession, d: str) -> DataFrame:
-    """Each other's first candidate."""
-    return P.mutual_best(_scores(spark, d).where("source <> target")).select("source", "target", "jaccard", "rank_union")
+    """Each other's first candidate, of all entities. The SQL has every twentieth source only."""
+    return P.mutual_best(_all_scores(spark, d).where("source <> target")).select("source", "target", "jaccard", "rank_union")
 
 
 @R.add(f"with {V.PROFILES} select entity, sum(weight) as total, count(*) as n from profiles where weight > 0 group by 1 having sum(weight) >= 100 and count(*) >= 20")
