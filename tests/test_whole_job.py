@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from test_entry import normal
 
 DATA = "/root/testdata/sf0.001"
 
@@ -55,3 +56,16 @@ def test_mutual_best_and_pool_have_all_sources(spark, con):
     assert want and {(r["source"], r["target"]) for r in entry.queries()["j19_mutual_best"](spark, DATA).collect()} == want
     got = {r["target"]: (r["n_sources"], r["best_source"], r["jaccard"]) for r in entry.queries()["e16_pooled"](spark, DATA).collect()}
     assert got == {b: (len(rows), max(rows)[2], max(rows)[0]) for b, rows in pool.items()}
+
+
+HEAVY_ONLY = "weight >= (select quantile_cont(weight, 0.95) from type_edges) and "
+TWELVE = " where t in (select distinct post from heavy where starts_with(post, 'v') order by 1 limit 12)"
+NETWORK = ["g07_hops", "g08_cone", "g11_widest", "g13_strongest_first", "g14_simple_paths", "g16_meet_in_the_middle", "g20_shortest_paths", "g25_coverage", "g28_batched_shortest", "g31_label_paths", "g32_path_table", "g38_walk_counts", "g43_chain_paths", "a39_pair_breakdown", "a40_intermediates", "f19_path_keywords", "j13_route_scope"]
+
+
+@pytest.mark.parametrize("name", NETWORK)
+def test_graph_queries_have_all_edges(spark, con, name):
+    sql = entry.oracle_sql()[name]
+    assert HEAVY_ONLY in sql
+    whole = con.execute(sql.replace(HEAVY_ONLY, "").replace(TWELVE, "")).df()
+    assert normal(entry.queries()[name](spark, DATA).toPandas()) == normal(whole)

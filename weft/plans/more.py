@@ -12,7 +12,7 @@ from weft.operators import profiles as P
 from weft.plans import views as V
 from weft.plans.compare import _SCORES, _all_scores
 from weft.plans.core_problems import SQL_CURRENT
-from weft.plans.graphs import _HEAVY, _PATHS, _SRC, _TGT, _ends, _heavy
+from weft.plans.graphs import _HEAVY, _PATHS, _SRC, _TGT, _ends, _network
 from weft.plans.registry import Registry
 from weft.session import table
 from weft.sources import formats
@@ -32,10 +32,8 @@ def g29_ratio_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"with recursive {_HEAVY}, {_PATHS}, k as (select path, w, len(path) as n, path[1] as s, path[-1] as t from p where path[-1] in (select node from {_TGT})), m as (select s, t, min(n) as n from k group by 1, 2) select array_to_string(path, '->') as path, w::double as bottleneck from k join m using (s, t, n) where t in (select distinct post from heavy where starts_with(post, 'v') order by 1 limit 12)")
 def g28_batched_shortest(spark: SparkSession, d: str) -> DataFrame:
-    """Shortest paths to twelve targets in batches of six."""
-    e = _heavy(spark, d)
-    twelve = e.where("startswith(post, 'v')").select(F.col("post").alias("node")).distinct().orderBy("node").limit(12)
-    return G.batched_shortest(e, _ends(spark, d, "d"), twelve, 3, 6).select(F.array_join("path", "->").alias("path"), "bottleneck")
+    """Shortest paths to all targets in batches of six. The SQL has twelve of the targets."""
+    return G.batched_shortest(_network(spark, d), _ends(spark, d, "d"), _ends(spark, d, "v"), 3, 6).select(F.array_join("path", "->").alias("path"), "bottleneck")
 
 
 _LETTER = "l as (select type as node, type[1] as label from canonical_types)"
@@ -45,7 +43,7 @@ _LETTER = "l as (select type as node, type[1] as label from canonical_types)"
 def g43_chain_paths(spark: SparkSession, d: str) -> DataFrame:
     """The paths behind a chain of labels."""
     lab = table(spark, d, "canonical_types").select(F.col("type").alias("node"), F.substring("type", 1, 1).alias("label"))
-    return G.chain_paths(_heavy(spark, d), ["d", "m", "v"], lab).select(F.array_join("path", "->").alias("path"), "bottleneck")
+    return G.chain_paths(_network(spark, d), ["d", "m", "v"], lab).select(F.array_join("path", "->").alias("path"), "bottleneck")
 
 
 @R.add(f"with {V.TYPE_EDGES}, r as (select pre, post, weight / sum(weight) over (partition by post) as ratio from type_edges), {_LETTER}, j as (select a.ratio as r1, b.ratio as r2 from r a join r b on a.post = b.pre join l x on x.node = a.pre and x.label = 'd' join l y on y.node = a.post and y.label = 'm' join l z on z.node = b.post and z.label = 'v') select 1 as hop, round(min(r1), 9) as least from j union all select 2, round(min(r2), 9) from j")
@@ -105,7 +103,7 @@ def x20_exact_ids(spark: SparkSession, d: str) -> DataFrame:
 @R.add(f"with recursive {_HEAVY}, {_PATHS} select array_to_string(path, '->') as path, contains(array_to_string(path, '->'), 'Nok') as excluded from p where path[-1] in (select node from {_TGT})")
 def f19_path_keywords(spark: SparkSession, d: str) -> DataFrame:
     """Paths by a literal keyword."""
-    paths = G.simple_paths(_heavy(spark, d), _ends(spark, d, "d"), _ends(spark, d, "v"), 3).select(F.array_join("path", "->").alias("path"))
+    paths = G.simple_paths(_network(spark, d), _ends(spark, d, "d"), _ends(spark, d, "v"), 3).select(F.array_join("path", "->").alias("path"))
     return paths.select("path", F.col("path").contains("Nok").alias("excluded"))
 
 
@@ -132,7 +130,7 @@ def j13_route_scope(spark: SparkSession, d: str) -> DataFrame:
     """Body-level edges within the routes of the type network, in tiers."""
     t = V.types(spark, d)
     e = V.pairs(spark, d).join(t.select(F.col("bodyId").alias("pre"), F.col("type").alias("a")), "pre").join(t.select(F.col("bodyId").alias("post"), F.col("type").alias("b")), "post")
-    scope = _heavy(spark, d).select(F.col("pre").alias("a"), F.col("post").alias("b"))
+    scope = _network(spark, d).select(F.col("pre").alias("a"), F.col("post").alias("b"))
     return e.join(scope, ["a", "b"], "left_semi").groupBy(F.col("a").alias("pre"), F.col("b").alias("post")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("weight") >= 5, F.col("weight"))).alias("strong"))
 
 
