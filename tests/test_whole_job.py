@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from test_entry import normal
+from weft.plans.core_problems import sql_canonical
 
 DATA = "/root/testdata/sf0.001"
 
@@ -69,3 +70,23 @@ def test_graph_queries_have_all_edges(spark, con, name):
     assert HEAVY_ONLY in sql
     whole = con.execute(sql.replace(HEAVY_ONLY, "").replace(TWELVE, "")).df()
     assert normal(entry.queries()[name](spark, DATA).toPandas()) == normal(whole)
+
+
+def test_region_screen_has_inputs_and_outputs_of_every_twentieth(spark, con):
+    pre, post = sql_canonical("bodyId_pre"), sql_canonical("bodyId_post")
+    rows = con.execute(f"with s as (select distinct {pre} as pre, {post} as post, roi, weight, cached_date from example_bodyid_network where roi is not null and weight > 0) select 'in', post, roi, sum(weight)::double from s where post is not null group by all union all select 'out', pre, roi, sum(weight)::double from s where pre is not null group by all").fetchall()
+    own = defaultdict(dict)
+    for block, i, roi, n in rows:
+        own[i].setdefault(block, {})[roi] = n
+    swap = lambda r: r[:-3] + {"(L)": "(R)", "(R)": "(L)"}[r[-3:]] if r[-3:] in ("(L)", "(R)") else r
+    cosine = lambda x, y: sum(v * y.get(r, 0) for r, v in x.items()) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values())) if x and y else 0.0
+    want = {}
+    for q in (i for i in own if int(i) % 20 == 0):
+        for i in own.keys() - {q}:
+            a = np.mean([cosine(x, own[i].get(b, {})) for b, x in own[q].items()])
+            m = np.mean([cosine({swap(r): v for r, v in x.items()}, own[i].get(b, {})) for b, x in own[q].items()])
+            if a > 0 or m > 0:
+                want[q, i] = (a, m, max(a, m))
+    got = {(r["query"], r["id"]): tuple(r)[2:] for r in entry.queries()["m30_region_screen"](spark, DATA).collect()}
+    assert want and got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], atol=2e-9) for k in want)

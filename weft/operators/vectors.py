@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import spread
+
 #: Vectors that are held at once for a block of the similarity matrix.
 BLOCK = 2048
 
@@ -167,15 +169,52 @@ def mirror(roi: Column) -> Column:
 def region_screen(counts: DataFrame, queries: DataFrame) -> DataFrame:
     """``query, id, direct, mirrored, score``: the cosine of region profiles, as they are and with sides swapped.
 
-    ``counts`` has ``id, roi, n``; ``queries`` a stated set of ``id``. Profiles are shares; the larger cosine counts.
+    ``counts`` has ``id, roi, n`` and maybe ``block`` (input or output); ``queries`` a stated set of ``id``, whose profiles
+    the driver holds, as it does the names of regions. The cosines of the blocks that a query has are averaged, and the
+    larger of both means counts. Pairs without a common region are left out.
     """
-    total = counts.groupBy("id").agg(F.sum("n").alias("t"))
-    share = counts.groupBy("id", "roi").agg(F.sum("n").alias("n")).join(total, "id").where("t > 0").select("id", "roi", (F.col("n") / F.col("t")).alias("p"))
-    norm = share.groupBy("id").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("norm"))
-    share = share.join(norm, "id").select("id", "roi", (F.col("p") / F.col("norm")).alias("p"))
-    q = share.join(queries.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query"), "roi", F.col("p").alias("q"))
-    both = q.select("query", "roi", "q", F.lit(0).alias("m")).unionByName(q.select("query", mirror(F.col("roi")).alias("roi"), "q", F.lit(1).alias("m")))
-    met = both.join(share, "roi").where("query <> id").groupBy("query", "id").agg(F.sum(F.when(F.col("m") == 0, F.col("p") * F.col("q")).otherwise(0.0)).alias("direct"), F.sum(F.when(F.col("m") == 1, F.col("p") * F.col("q")).otherwise(0.0)).alias("mirrored"))
+    import pyarrow as pa
+
+    spark = counts.sparkSession
+    known = counts.withColumn("block", F.col("block") if "block" in counts.columns else F.lit("")).groupBy("id", "block", "roi").agg(F.sum("n").cast("double").alias("n")).where("n > 0")
+    names = [(r["block"], r["roi"], r["other"]) for r in known.select("block", "roi", mirror(F.col("roi")).alias("other")).distinct().orderBy("block", "roi").collect()]
+    if not names:
+        return spark.createDataFrame([], "query string, id string, direct double, mirrored double, score double")
+    at = {(b, roi): i for i, (b, roi, _) in enumerate(names)}
+    place = spark.createDataFrame([(b, roi, i) for (b, roi), i in at.items()], "block string, roi string, i int")
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id", "block")))
+    rows = known.withColumn("p", F.col("n") / norm).join(F.broadcast(place), ["block", "roi"]).groupBy("id").agg(F.collect_list("i").alias("i"), F.collect_list("p").alias("p"))
+
+    def dense(i: list, p: list) -> np.ndarray:
+        out = np.zeros((len(i), len(names)))
+        for k, (a, b) in enumerate(zip(i, p, strict=True)):
+            out[k, a] = b
+        return out
+
+    stated = list(rows.join(queries.select("id").distinct(), "id", "left_semi").toLocalIterator())
+    own = np.array([r["id"] for r in stated], object)
+    direct = dense([r["i"] for r in stated], [r["p"] for r in stated])
+    mirrored = np.zeros_like(direct)
+    for i, (b, _, other) in enumerate(names):
+        if (b, other) in at:
+            mirrored[:, at[b, other]] += direct[:, i]
+    blocks = sorted({b for b, _, _ in names})
+    has = sum((direct[:, [i for i, n in enumerate(names) if n[0] == b]] > 0).any(axis=1).astype(float) for b in blocks)
+    direct, mirrored = direct / has[:, None], mirrored / has[:, None]
+    few = max(1, 500_000 // max(1, len(own)))  # ids at a time, so that a batch of pairs stays small
+
+    def run(batches):
+        mine = pa.array(own, pa.string())
+        for batch in batches:
+            ids, i, p = batch.column("id"), batch.column("i").to_pylist(), batch.column("p").to_pylist()
+            for k in range(0, len(i), few):
+                x = dense(i[k : k + few], p[k : k + few])
+                a, b = x @ direct.T, x @ mirrored.T
+                part = ids.slice(k, few)
+                one, two = np.nonzero(((a > 0) | (b > 0)) & (np.array(part.to_pylist(), object)[:, None] != own[None, :]))
+                yield pa.RecordBatch.from_arrays([mine.take(pa.array(two)), part.take(pa.array(one)), pa.array(a[one, two]), pa.array(b[one, two])], names=["query", "id", "direct", "mirrored"])
+
+    met = spread(rows).mapInArrow(run, "query string, id string, direct double, mirrored double")
     return met.select("query", "id", F.round("direct", 9).alias("direct"), F.round("mirrored", 9).alias("mirrored"), F.round(F.greatest("direct", "mirrored"), 9).alias("score"))
 
 

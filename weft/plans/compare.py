@@ -231,15 +231,25 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
     return network(spark, d).select(canonical_id(F.col("bodyId_post")).alias("id"), "roi", F.col("weight").alias("n")).where("id is not null and roi is not null and n > 0")
 
 
+def _both_regions(spark: SparkSession, d: str) -> DataFrame:
+    """``id, block, roi, n``: the deduplicated slices of either side of each neuron."""
+    once = network(spark, d).where("roi is not null and weight > 0").select(canonical_id(F.col("bodyId_pre")).alias("pre"), canonical_id(F.col("bodyId_post")).alias("post"), "roi", "weight", "cached_date").distinct()
+    sides = once.select("roi", F.col("weight").alias("n"), F.inline(F.array(F.struct(F.lit("in").alias("block"), F.col("post").alias("id")), F.struct(F.lit("out").alias("block"), F.col("pre").alias("id")))))
+    return sides.where("id is not null")
+
+
 _REGIONS = f"{V.SLICES.split(' as (')[0].replace('slices', 'c')} as (select " + V.sql_canonical("bodyId_post") + " as id, roi, weight::double as n from example_bodyid_network where roi is not null and weight > 0), s as (select id, roi, sum(n) as n from c where id is not null group by 1, 2), p as (select id, roi, n / sum(n) over (partition by id) as p from s)"
 
 
 @R.add(f"""with {_REGIONS}, u as (select id, roi, p / sqrt(sum(p * p) over (partition by id)) as p from p), q as (select * from u where id like '%00'), b as (select id as query, roi, p as q, 0 as m from q union all select id, case when roi like '%(L)' then replace(roi, '(L)', '(R)') when roi like '%(R)' then replace(roi, '(R)', '(L)') else roi end, p, 1 from q),
 g as (select query, id, sum(case when m = 0 then p * q else 0 end) as a, sum(case when m = 1 then p * q else 0 end) as b from b join u using (roi) where query <> id group by 1, 2) select query, id, round(a, 9) as direct, round(b, 9) as mirrored, round(greatest(a, b), 9) as score from g""")
 def m30_region_screen(spark: SparkSession, d: str) -> DataFrame:
-    """M30, M31, SC22: region profiles as they are and mirrored."""
-    c = _regions(spark, d)
-    return vectors.region_screen(c, c.where(F.col("id").endswith("00")).select("id"))
+    """M30, M31, SC22: input and output region profiles of every twentieth neuron against all, as they are and mirrored.
+
+    The SQL has the inputs only, of ids that end in 00.
+    """
+    c = _both_regions(spark, d)
+    return vectors.region_screen(c, c.where(F.try_mod(F.col("id").try_cast("decimal(38,0)"), F.lit(20)) == 0).select("id"))
 
 
 @R.add(f"with {_REGIONS} select id, roi, round(sqrt(p), 9) as h from p")
