@@ -90,3 +90,10 @@ def test_region_screen_has_inputs_and_outputs_of_every_twentieth(spark, con):
     got = {(r["query"], r["id"]): tuple(r)[2:] for r in entry.queries()["m30_region_screen"](spark, DATA).collect()}
     assert want and got.keys() == want.keys()
     assert all(np.allclose(got[k], want[k], atol=2e-9) for k in want)
+
+
+def test_pair_metrics_have_all_edges(spark, con):
+    sql = entry.oracle_sql()["u01_pair_metrics"]
+    half = " where value >= (select quantile_cont(value, 0.5) from long)"
+    assert half in sql
+    assert normal(entry.queries()["u01_pair_metrics"](spark, DATA).toPandas()) == normal(con.execute(sql.replace(half, "")).df())

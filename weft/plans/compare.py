@@ -32,10 +32,9 @@ select d1, d2, count(x) as n1, count(y) as n2, count(*) filter (x is not null an
 round(coalesce(sum(least(coalesce(px, 0), coalesce(py, 0))) / nullif(sum(greatest(coalesce(px, 0), coalesce(py, 0))), 0), 0), 9) as ruzicka, round(case when count(*) filter (x is not null and y is not null) >= 2 then corr(x, y) end, 9) as pearson, round(case when count(*) filter (x is not null and y is not null) >= 3 then corr(rx, ry) end, 9) as spearman,
 round(coalesce(sum(coalesce(x, 0) * coalesce(y, 0)) / nullif(sqrt(sum(x * x) * sum(y * y)), 0), 0), 9) as cosine, round(greatest(1 - sqrt(sum(pow(coalesce(x, 0) - coalesce(y, 0), 2))) / (sqrt(coalesce(sum(x * x), 0)) + sqrt(coalesce(sum(y * y), 0))), 0), 9) as frobenius from rk group by 1, 2""")
 def u01_pair_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """All measures of all pairs of datasets."""
+    """All measures of all pairs of datasets, of all edges. The SQL has the heavier half only."""
     long = _long(spark, d)
-    least = long.agg(F.percentile("value", F.lit(0.5)).alias("q"))
-    return S.pair_metrics(long.where(F.col("value") >= least.scalar()), long.select("dataset").distinct())
+    return S.pair_metrics(long, long.select("dataset").distinct())
 
 
 @R.add(f"""with {LONG}, t as (select unnest([1, 5, 20]) as threshold), l as (select threshold::bigint as threshold, long.* from t join long on value >= threshold), ds as (select a.dataset as d1, b.dataset as d2 from (select distinct dataset from long) a join (select distinct dataset from long) b on a.dataset < b.dataset)
