@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from test_entry import normal
+from weft.operators import graph as G
 from weft.plans.core_problems import sql_canonical
 
 DATA = "/root/testdata/sf0.001"
@@ -97,3 +98,9 @@ def test_pair_metrics_have_all_edges(spark, con):
     half = " where value >= (select quantile_cont(value, 0.5) from long)"
     assert half in sql
     assert normal(entry.queries()["u01_pair_metrics"](spark, DATA).toPandas()) == normal(con.execute(sql.replace(half, "")).df())
+
+
+def test_diverse_top_goes_through_all_paths_of_a_pair(spark):
+    paths = [(["s", "a", f"m{i}", "t"], 1000.0 - i) for i in range(400)] + [(["s", f"b{i}", f"n{i}", "t"], 10.0 - i) for i in range(4)]
+    got = G.diverse_top(spark.createDataFrame(paths, "path array<string>, bottleneck double"), 5, 2).orderBy("rank").collect()
+    assert [r["path"] for r in got] == ["s->a->m0->t", "s->a->m1->t", "s->b0->n0->t", "s->b1->n1->t", "s->b2->n2->t"]

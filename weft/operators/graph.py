@@ -298,25 +298,26 @@ def diverse_top(paths: DataFrame, k: int, reuse: int) -> DataFrame:
     """``source, target, path, rank``: up to ``k`` paths per pair in which an edge at one depth serves ``reuse`` times.
 
     Strongest first; places that the rule leaves empty are filled with the strongest paths put aside. It is greedy and
-    order dependent, so it runs per pair. Only the strongest ``k * 64`` paths of a pair are looked at for diversity,
-    chosen by a window before they meet in one task; that is enough to fill ``k`` places.
+    order dependent, so it runs per pair, through all paths of the pair, which meet in one task.
     """
     import pandas as pd
 
     own = Window.partitionBy("source", "target").orderBy(F.desc("bottleneck"), F.size("path"), "path")
     ends = paths.select(F.element_at("path", 1).alias("source"), F.element_at("path", -1).alias("target"), "path", "bottleneck")
-    ahead = ends.withColumn("o", F.row_number().over(own)).where(F.col("o") <= k * 64)
+    ahead = ends.withColumn("o", F.row_number().over(own))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         used: dict = {}
         chosen, aside = [], []
         for r in pdf.sort_values("o").itertuples():
+            if len(chosen) == k:
+                break
             hops_ = list(enumerate(zip(r.path, r.path[1:], strict=False)))
-            if len(chosen) < k and all(used.get(h, 0) < reuse for h in hops_):
+            if all(used.get(h, 0) < reuse for h in hops_):
                 chosen.append(r)
                 for h in hops_:
                     used[h] = used.get(h, 0) + 1
-            else:
+            elif len(aside) < k:
                 aside.append(r)
         chosen = sorted(chosen + aside[: max(0, k - len(chosen))], key=lambda r: r.o)
         return pd.DataFrame({"source": [r.source for r in chosen], "target": [r.target for r in chosen], "path": ["->".join(r.path) for r in chosen], "rank": range(1, len(chosen) + 1)})
