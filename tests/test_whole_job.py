@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 from collections import defaultdict
 
 import duckdb
@@ -104,3 +105,13 @@ def test_diverse_top_goes_through_all_paths_of_a_pair(spark):
     paths = [(["s", "a", f"m{i}", "t"], 1000.0 - i) for i in range(400)] + [(["s", f"b{i}", f"n{i}", "t"], 10.0 - i) for i in range(4)]
     got = G.diverse_top(spark.createDataFrame(paths, "path array<string>, bottleneck double"), 5, 2).orderBy("rank").collect()
     assert [r["path"] for r in got] == ["s->a->m0->t", "s->a->m1->t", "s->b0->n0->t", "s->b1->n1->t", "s->b2->n2->t"]
+
+
+def test_docstrings_name_no_id_that_is_left_out():
+    left = {"W8", "W14", "M21", "M25", "M26", "M27", "M28", "M29", "X16", "A30", "G22", "G30", "G36"}
+    for name, query in entry.queries().items():
+        for part in (query.__doc__ or "").split(":")[0].split(", "):
+            ends = re.fullmatch(r"([A-Z]+)([0-9]+)(?:-[A-Z]*([0-9]+))?", part)
+            if ends:
+                ids = {f"{ends[1]}{i}" for i in range(int(ends[2]), int(ends[3] or ends[2]) + 1)}
+                assert not ids & left, name

@@ -40,7 +40,7 @@ def u01_pair_metrics(spark: SparkSession, d: str) -> DataFrame:
 @R.add(f"""with {LONG}, t as (select unnest([1, 5, 20]) as threshold), l as (select threshold::bigint as threshold, long.* from t join long on value >= threshold), ds as (select a.dataset as d1, b.dataset as d2 from (select distinct dataset from long) a join (select distinct dataset from long) b on a.dataset < b.dataset)
 select t.threshold::bigint as threshold, d1, d2, round(case when u = 0 then 1.0 else s / u end, 9) as jaccard from t join ds on true join lateral (select count(*) filter (x and y) as s, count(*) as u from (select bool_or(dataset = d1) as x, bool_or(dataset = d2) as y from l where l.threshold = t.threshold and dataset in (d1, d2) group by key)) z on true""")
 def m13_across_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity at each threshold."""
+    """Similarity at each threshold."""
     grid = spark.createDataFrame([(1,), (5,), (20,)], "threshold bigint")
     long = _long(spark, d)
     at = F.broadcast(grid).join(long, F.col("value") >= F.col("threshold")).select("threshold", "dataset", "key", "value")
@@ -50,7 +50,7 @@ def m13_across_thresholds(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"with {LONG}, p as (select key, count(*) filter (value >= 3) as n from long group by 1) select key, n, case when n = 3 then 'common' when n = 1 then 'unique' else 'shared' end as kind from p where n > 0")
 def u03_presence(spark: SparkSession, d: str) -> DataFrame:
-    """Keys common to all datasets or unique to one."""
+    """Keys common to all datasets or unique to one."""
     return S.presence(_long(spark, d), 3, 3)
 
 
@@ -137,14 +137,14 @@ def m19_homologs(spark: SparkSession, d: str) -> DataFrame:
 k as (select *, row_number() over (partition by source order by rank_jaccard, jaccard desc nulls last, rank_union desc nulls last, target) as k1, row_number() over (partition by source order by rank_corr, jaccard desc nulls last, rank_union desc nulls last, target) as k2 from r)
 select source, target, rank_jaccard::int as rank_jaccard, rank_corr::int as rank_corr, least(rank_jaccard, rank_corr)::int as bar_rank, case when least(rank_jaccard, rank_corr) <= 2 and rank_union >= 0.2 then 'matched' when least(rank_jaccard, rank_corr) <= 2 then 'near' else 'far' end as tier from k where k1 <= 5 or k2 <= 5""")
 def w07_top_union(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates by two rankings, and their tier."""
+    """Candidates by two rankings, and their tier."""
     top = P.top_union(P.rank_candidates(_scores(spark, d).where("source <> target")), 5)
     return P.admit(top, 2, 0.2).select("source", "target", "rank_jaccard", "rank_corr", "bar_rank", "tier")
 
 
 @R.add(f"""with {_SCORES}, s as (select * from scores where source <> target), f as (select *, row_number() over (partition by source order by jaccard desc nulls last, rank_union desc nulls last, target) as f from s), b as (select *, row_number() over (partition by target order by jaccard desc nulls last, rank_union desc nulls last, source) as b from s) select f.source, f.target, f.jaccard, f.rank_union from f join b on f.source = b.source and f.target = b.target where f = 1 and b = 1""")
 def j19_mutual_best(spark: SparkSession, d: str) -> DataFrame:
-    """Each other's first candidate, of all entities. The SQL has every twentieth source only."""
+    """Each other's first candidate, of all entities. The SQL has every twentieth source only."""
     return P.mutual_best(_all_scores(spark, d).where("source <> target")).select("source", "target", "jaccard", "rank_union")
 
 
@@ -259,7 +259,7 @@ def m32_hellinger(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"with {_SCORES}, s as (select source as query, target as id, weighted_jaccard as score from scores where source <> target), n as (select query, avg(score) as m, stddev_samp(score) as sd from s where id::bigint % 2 = 1 group by 1) select s.query, id, score, round((score - m) / nullif(sd, 0), 5) as z, coalesce((score - m) / nullif(sd, 0) >= 1, false) as qualified from s left join n on s.query = n.query")
 def m39_null_baseline(spark: SparkSession, d: str) -> DataFrame:
-    """Scores against a null sample."""
+    """Scores against every second target as null."""
     s = _scores(spark, d).where("source <> target").select(F.col("source").alias("query"), F.col("target").alias("id"), F.col("weighted_jaccard").alias("score"))
     return vectors.null_qualified(s, s.where(F.col("id").cast("bigint") % 2 == 1), 1.0).withColumn("z", F.round("z", 5))
 

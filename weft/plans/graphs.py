@@ -72,7 +72,7 @@ def g13_strongest_first(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"{_STEP}, {_PATHS}, k as (select path, w, len(path) as n, path[1] as s, path[-1] as t from p where path[-1] in (select node from {_TGT})), m as (select s, t, min(n) as n from k group by 1, 2) select array_to_string(path, '->') as path, w::double as bottleneck from k join m using (s, t, n)")
 def g20_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    """All shortest paths of each pair."""
+    """All shortest paths of each pair."""
     return G.shortest_paths(_network(spark, d), _ends(spark, d, "d"), _ends(spark, d, "v"), 3).select(F.array_join("path", "->").alias("path"), "bottleneck")
 
 
@@ -84,7 +84,7 @@ def g11_widest(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"{_STEP}, c as (select node, 0 as hops, 1::hugeint as n from {_SRC} union all select x.node, x.hops, x.n from (select h.post as node, c.hops + 1 as hops, sum(c.n)::hugeint as n from c join heavy h on h.pre = c.node where c.hops < 4 group by 1, 2) x) select node, hops::int as hops, n::bigint as n from c where hops > 0")
 def g38_walk_counts(spark: SparkSession, d: str) -> DataFrame:
-    """How many walks of each length arrive."""
+    """How many walks of each length arrive."""
     return G.walk_counts(_network(spark, d), _ends(spark, d, "d"), 4)
 
 

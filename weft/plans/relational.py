@@ -282,7 +282,7 @@ def a29_counts_with_total(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"with {V.PAIRS}, t as (select unnest([1, 2, 3, 5, 8, 13, 21, 34, 55, 89]) as t) select t::bigint as t, count(weight) as n, coalesce(sum(weight), 0)::bigint as mass from t left join pairs on weight >= t group by 1")
 def a33_density_curve(spark: SparkSession, d: str) -> DataFrame:
-    """Edges at each threshold."""
+    """Edges at each threshold."""
     return E.density_curve(V.pairs(spark, d), [1, 2, 3, 5, 8, 13, 21, 34, 55, 89])
 
 
