@@ -104,7 +104,7 @@ def _line_facts(raw: Column) -> Column:
         *[x for d, name in ((",", "comma"), (";", "semi")) for x in (ifhas(d, count(d)).alias(name), ifhas(d, numeric(d)).alias(f"{name}_num"), loose(d).alias(f"{name}_loose"))], (gap | bare.contains(" ")).alias("spaced"),
         ifhas("\t", count("\t")).alias("tabs"), ifhas("\t", F.when(line.rlike(rf"\t{_NUMBER}$"), 1).otherwise(0)).alias("tab_num"), ifhas(" | ", count(r" \| ")).alias("pipes"), ifhas(" | ", count(rf"(?:^|\| ){_NUMBER}(?= \||$)")).alias("pipe_num"), (line.contains(" & ") & line.endswith("\\\\")).alias("latex"),
         F.when(line.contains("|") | line.contains("+"), line.rlike(r"^\s*\|.*\|\s*$") | line.rlike(r"^\s*[+|][-+|:= ]{4,}$")).otherwise(False).alias("framed"),
-        (F.when(line.contains("="), line.rlike(r"(?:[0-9]{2}:[0-9]{2}:[0-9]{2}.*\S=\S)|(?:(?:^|\s)\S+=\S+\s.*\s\S+=\S+)")).otherwise(False) | F.when(n >= 24, line.rlike(r"[0-9a-fA-F]{24,}|^(?=.*[A-Za-z0-9]{16})[A-Za-z0-9+/=_-]{40,}$|0x[0-9a-fA-F]{4,}.*0x[0-9a-fA-F]{4,}")).otherwise(False)).alias("machine"),
+        (F.when(line.contains("="), line.rlike(r"(?:[0-9]{2}:[0-9]{2}:[0-9]{2}.*\S=\S)|(?:(?:^|\s)\S+=\S+\s.*\s\S+=\S+)")).otherwise(False) | F.when(n >= 24, line.rlike(r"[0-9a-fA-F]{24,}|^(?=.*[A-Za-z0-9]{16})[A-Za-z0-9+/=_-]{40,}$")).otherwise(False) | F.when(line.contains("0x"), line.rlike(r"0x[0-9a-fA-F]{4,}.*0x[0-9a-fA-F]{4,}")).otherwise(False)).alias("machine"),
         (line.rlike(_MARKER) | F.when(n <= 60, line.rlike(r"^\s*(?:\S{1,20} = |\p{Lu}\S{0,19}: )\S")).otherwise(False)).alias("marked"), bare.startswith("#").alias("heading"), F.substring(bare, -1, 1).isin(*".!?:;…。\"”»)").alias("stop"),
     )
 
