@@ -63,17 +63,20 @@ def test_mutual_best_and_pool_have_all_sources(spark, con):
     assert got == {b: (len(rows), max(rows)[2], max(rows)[0]) for b, rows in pool.items()}
 
 
-HEAVY_ONLY = "weight >= (select quantile_cont(weight, 0.95) from type_edges) and "
-TWELVE = " where t in (select distinct post from heavy where starts_with(post, 'v') order by 1 limit 12)"
 NETWORK = ["g07_hops", "g08_cone", "g11_widest", "g13_strongest_first", "g14_simple_paths", "g16_meet_in_the_middle", "g20_shortest_paths", "g25_coverage", "g28_batched_shortest", "g31_label_paths", "g32_path_table", "g38_walk_counts", "g43_chain_paths", "a39_pair_breakdown", "a40_intermediates", "f19_path_keywords", "j13_route_scope"]
+CUTS = re.compile(r"quantile_cont|limit 12\b|like '%00'|starts_with\(type")
+
+
+def test_no_sql_leaves_rows_out():
+    for name in [*NETWORK, "u01_pair_metrics", "m30_region_screen"]:
+        assert not CUTS.search(entry.oracle_sql()[name]), name
+    for name in ("j19_mutual_best", "e16_pooled"):
+        assert "% 20" not in entry.oracle_sql()[name]
 
 
 @pytest.mark.parametrize("name", NETWORK)
 def test_graph_queries_have_all_edges(spark, con, name):
-    sql = entry.oracle_sql()[name]
-    assert HEAVY_ONLY in sql
-    whole = con.execute(sql.replace(HEAVY_ONLY, "").replace(TWELVE, "")).df()
-    assert normal(entry.queries()[name](spark, DATA).toPandas()) == normal(whole)
+    assert normal(entry.queries()[name](spark, DATA).toPandas()) == normal(con.execute(entry.oracle_sql()[name]).df())
 
 
 def test_region_screen_has_inputs_and_outputs_of_every_twentieth(spark, con):
@@ -91,16 +94,14 @@ def test_region_screen_has_inputs_and_outputs_of_every_twentieth(spark, con):
             m = np.mean([cosine({swap(r): v for r, v in x.items()}, own[i].get(b, {})) for b, x in own[q].items()])
             if a > 0 or m > 0:
                 want[q, i] = (a, m, max(a, m))
-    got = {(r["query"], r["id"]): tuple(r)[2:] for r in entry.queries()["m30_region_screen"](spark, DATA).collect()}
-    assert want and got.keys() == want.keys()
-    assert all(np.allclose(got[k], want[k], atol=2e-9) for k in want)
+    got = {(r["query"], r["id"]): tuple(r)[2:5] for r in entry.queries()["m30_region_screen"](spark, DATA).collect()}
+    first = {q: sorted((-round(v[2], 9), i) for (p, i), v in want.items() if p == q)[:10] for q, _ in want}
+    assert want and got.keys() == {(q, i) for q, rows in first.items() for _, i in rows}
+    assert all(np.allclose(got[k], want[k], atol=2e-9) for k in got)
 
 
 def test_pair_metrics_have_all_edges(spark, con):
-    sql = entry.oracle_sql()["u01_pair_metrics"]
-    half = " where value >= (select quantile_cont(value, 0.5) from long)"
-    assert half in sql
-    assert normal(entry.queries()["u01_pair_metrics"](spark, DATA).toPandas()) == normal(con.execute(sql.replace(half, "")).df())
+    assert normal(entry.queries()["u01_pair_metrics"](spark, DATA).toPandas()) == normal(con.execute(entry.oracle_sql()["u01_pair_metrics"]).df())
 
 
 def test_diverse_top_goes_through_all_paths_of_a_pair(spark):

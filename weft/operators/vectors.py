@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators.topn import top_n
 from weft.session import spread
 
 #: Vectors that are held at once for a block of the similarity matrix.
@@ -94,7 +95,6 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     to all vectors in turn, and each task keeps ``k`` per query. Of equal similarity (12 digits) the smaller id comes first.
     """
     spark = vectors.sparkSession
-    from weft.operators.topn import top_n
 
     rows = queries.select("id", "v").toLocalIterator(prefetchPartitions=True)
     out, block = None, []
@@ -166,12 +166,13 @@ def mirror(roi: Column) -> Column:
     return F.when(roi.endswith("(L)"), F.regexp_replace(roi, r"\(L\)$", "(R)")).when(roi.endswith("(R)"), F.regexp_replace(roi, r"\(R\)$", "(L)")).otherwise(roi)
 
 
-def region_screen(counts: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query, id, direct, mirrored, score``: the cosine of region profiles, as they are and with sides swapped.
+def region_screen(counts: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+    """``query, id, direct, mirrored, score, rank``: the ``top_k`` nearest region profiles, as they are and with sides swapped.
 
     ``counts`` has ``id, roi, n`` and maybe ``block`` (input or output); ``queries`` a stated set of ``id``, whose profiles
     the driver holds, as it does the names of regions. The cosines of the blocks that a query has are averaged, and the
-    larger of both means counts. Pairs without a common region are left out.
+    larger of both means counts. Pairs without a common region are left out. Each task passes on ``top_k`` per query and batch;
+    of equal scores (9 digits) the smaller id comes first.
     """
     import pyarrow as pa
 
@@ -179,7 +180,7 @@ def region_screen(counts: DataFrame, queries: DataFrame) -> DataFrame:
     known = counts.withColumn("block", F.col("block") if "block" in counts.columns else F.lit("")).groupBy("id", "block", "roi").agg(F.sum("n").cast("double").alias("n")).where("n > 0")
     names = [(r["block"], r["roi"], r["other"]) for r in known.select("block", "roi", mirror(F.col("roi")).alias("other")).distinct().orderBy("block", "roi").collect()]
     if not names:
-        return spark.createDataFrame([], "query string, id string, direct double, mirrored double, score double")
+        return spark.createDataFrame([], "query string, id string, direct double, mirrored double, score double, rank int")
     at = {(b, roi): i for i, (b, roi, _) in enumerate(names)}
     place = spark.createDataFrame([(b, roi, i) for (b, roi), i in at.items()], "block string, roi string, i int")
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id", "block")))
@@ -201,21 +202,29 @@ def region_screen(counts: DataFrame, queries: DataFrame) -> DataFrame:
     blocks = sorted({b for b, _, _ in names})
     has = sum((direct[:, [i for i, n in enumerate(names) if n[0] == b]] > 0).any(axis=1).astype(float) for b in blocks)
     direct, mirrored = direct / has[:, None], mirrored / has[:, None]
-    few = max(1, 500_000 // max(1, len(own)))  # ids at a time, so that a batch of pairs stays small
+    few = max(top_k, 2_000_000 // max(1, len(own)))  # ids at a time, so that a batch of pairs stays small
 
     def run(batches):
         mine = pa.array(own, pa.string())
         for batch in batches:
             ids, i, p = batch.column("id"), batch.column("i").to_pylist(), batch.column("p").to_pylist()
             for k in range(0, len(i), few):
-                x = dense(i[k : k + few], p[k : k + few])
-                a, b = x @ direct.T, x @ mirrored.T
-                part = ids.slice(k, few)
-                one, two = np.nonzero(((a > 0) | (b > 0)) & (np.array(part.to_pylist(), object)[:, None] != own[None, :]))
-                yield pa.RecordBatch.from_arrays([mine.take(pa.array(two)), part.take(pa.array(one)), pa.array(a[one, two]), pa.array(b[one, two])], names=["query", "id", "direct", "mirrored"])
+                x, part = dense(i[k : k + few], p[k : k + few]), np.array(ids.slice(k, few).to_pylist(), object)
+                order = np.argsort(part)  # columns in the order of ids, so that a stable sort breaks ties by them
+                x, part = x[order], part[order]
+                a, b = direct @ x.T, mirrored @ x.T
+                score = np.round(np.maximum(a, b), 9)
+                score[(score <= 0) & (a <= 0) & (b <= 0) | (own[:, None] == part[None, :])] = -1
+                best = np.argsort(-score, axis=1, kind="stable")[:, :top_k]
+                q = np.repeat(np.arange(len(own)), best.shape[1])
+                at_ = best.ravel()
+                keep = score[q, at_] >= 0
+                q, at_ = q[keep], at_[keep]
+                yield pa.RecordBatch.from_arrays([mine.take(pa.array(q)), pa.array(part[at_], pa.string()), pa.array(a[q, at_]), pa.array(b[q, at_])], names=["query", "id", "direct", "mirrored"])
 
     met = spread(rows).mapInArrow(run, "query string, id string, direct double, mirrored double")
-    return met.select("query", "id", F.round("direct", 9).alias("direct"), F.round("mirrored", 9).alias("mirrored"), F.round(F.greatest("direct", "mirrored"), 9).alias("score"))
+    met = met.select("query", "id", F.round("direct", 9).alias("direct"), F.round("mirrored", 9).alias("mirrored"), F.round(F.greatest("direct", "mirrored"), 9).alias("score"))
+    return top_n(met, ["query"], [F.desc("score"), F.asc("id")], top_k)
 
 
 def hellinger(counts: DataFrame) -> DataFrame:

@@ -25,14 +25,14 @@ def u05_aligned(spark: SparkSession, d: str) -> DataFrame:
     return S.aligned(_long(spark, d), ["F", "O", "P"])
 
 
-@R.add(f"""with {LONG}, big as (select * from long where value >= (select quantile_cont(value, 0.5) from long)), sh as (select *, value / sum(value) over (partition by dataset) as p from big), ds as (select distinct dataset from long), fr as (select a.dataset as d1, b.dataset as d2 from ds a join ds b on a.dataset < b.dataset),
-j as (select fr.d1, fr.d2, k.key, a.value as x, b.value as y, a.p as px, b.p as py from fr join (select distinct key from big) k on true left join sh a on a.dataset = d1 and a.key = k.key left join sh b on b.dataset = d2 and b.key = k.key where a.key is not null or b.key is not null),
+@R.add(f"""with {LONG}, sh as (select *, value / sum(value) over (partition by dataset) as p from long), ds as (select distinct dataset from long), fr as (select a.dataset as d1, b.dataset as d2 from ds a join ds b on a.dataset < b.dataset),
+j as (select fr.d1, fr.d2, k.key, a.value as x, b.value as y, a.p as px, b.p as py from fr join (select distinct key from long) k on true left join sh a on a.dataset = d1 and a.key = k.key left join sh b on b.dataset = d2 and b.key = k.key where a.key is not null or b.key is not null),
 rk as (select *, case when x is not null and y is not null then rank() over (partition by d1, d2, x is null or y is null order by x) + (count(*) over (partition by d1, d2, x is null or y is null, x) - 1) / 2 end as rx, case when x is not null and y is not null then rank() over (partition by d1, d2, x is null or y is null order by y) + (count(*) over (partition by d1, d2, x is null or y is null, y) - 1) / 2 end as ry from j)
 select d1, d2, count(x) as n1, count(y) as n2, count(*) filter (x is not null and y is not null) as shared, round(case when count(*) = 0 then 1.0 else count(*) filter (x is not null and y is not null) / count(*) end, 9) as jaccard, round(case when count(x) > 0 then count(*) filter (x is not null and y is not null) / count(x) else 0.0 end, 9) as overlap_1, round(case when count(y) > 0 then count(*) filter (x is not null and y is not null) / count(y) else 0.0 end, 9) as overlap_2,
 round(coalesce(sum(least(coalesce(px, 0), coalesce(py, 0))) / nullif(sum(greatest(coalesce(px, 0), coalesce(py, 0))), 0), 0), 9) as ruzicka, round(case when count(*) filter (x is not null and y is not null) >= 2 then corr(x, y) end, 9) as pearson, round(case when count(*) filter (x is not null and y is not null) >= 3 then corr(rx, ry) end, 9) as spearman,
 round(coalesce(sum(coalesce(x, 0) * coalesce(y, 0)) / nullif(sqrt(sum(x * x) * sum(y * y)), 0), 0), 9) as cosine, round(greatest(1 - sqrt(sum(pow(coalesce(x, 0) - coalesce(y, 0), 2))) / (sqrt(coalesce(sum(x * x), 0)) + sqrt(coalesce(sum(y * y), 0))), 0), 9) as frobenius from rk group by 1, 2""")
 def u01_pair_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """All measures of all pairs of datasets, of all edges. The SQL has the heavier half only."""
+    """All measures of all pairs of datasets, of all edges."""
     long = _long(spark, d)
     return S.pair_metrics(long, long.select("dataset").distinct())
 
@@ -110,6 +110,9 @@ sz as (select *, rank() over (partition by source, target order by coalesce(wa,
 scores as (select source, target, count(*) filter (wa is not null and wb is not null) as shared, count(*) as total, round(count(*) filter (wa is not null and wb is not null) / count(*), 9) as jaccard, round(sum(least(coalesce(wa, 0), coalesce(wb, 0))) / sum(greatest(coalesce(wa, 0), coalesce(wb, 0))), 9) as weighted_jaccard, round(sum(coalesce(wa, 0) * coalesce(wb, 0)) / sqrt(sum(wa * wa) * sum(wb * wb)), 9) as cosine, round(case when count(*) >= 3 and stddev_pop(ra) > 0 and stddev_pop(rb) > 0 then corr(ra, rb) end, 9) as rank_union from sz group by 1, 2 having count(*) filter (wa is not null and wb is not null) > 0)"""
 
 
+_ALL_SCORES = _SCORES.replace(" where entity::bigint % 20 = 0", "")
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     p = V.profiles(spark, d)
     return P.score_pairs(p.where(F.col("entity").cast("bigint") % 20 == 0), p)
@@ -142,9 +145,9 @@ def w07_top_union(spark: SparkSession, d: str) -> DataFrame:
     return P.admit(top, 2, 0.2).select("source", "target", "rank_jaccard", "rank_corr", "bar_rank", "tier")
 
 
-@R.add(f"""with {_SCORES}, s as (select * from scores where source <> target), f as (select *, row_number() over (partition by source order by jaccard desc nulls last, rank_union desc nulls last, target) as f from s), b as (select *, row_number() over (partition by target order by jaccard desc nulls last, rank_union desc nulls last, source) as b from s) select f.source, f.target, f.jaccard, f.rank_union from f join b on f.source = b.source and f.target = b.target where f = 1 and b = 1""")
+@R.add(f"""with {_ALL_SCORES}, s as (select * from scores where source <> target), f as (select *, row_number() over (partition by source order by jaccard desc nulls last, rank_union desc nulls last, target) as f from s), b as (select *, row_number() over (partition by target order by jaccard desc nulls last, rank_union desc nulls last, source) as b from s) select f.source, f.target, f.jaccard, f.rank_union from f join b on f.source = b.source and f.target = b.target where f = 1 and b = 1""")
 def j19_mutual_best(spark: SparkSession, d: str) -> DataFrame:
-    """Each other's first candidate, of all entities. The SQL has every twentieth source only."""
+    """Each other's first candidate, of all entities."""
     return P.mutual_best(_all_scores(spark, d).where("source <> target")).select("source", "target", "jaccard", "rank_union")
 
 
@@ -240,15 +243,19 @@ def _both_regions(spark: SparkSession, d: str) -> DataFrame:
 _REGIONS = f"{V.SLICES.split(' as (')[0].replace('slices', 'c')} as (select " + V.sql_canonical("bodyId_post") + " as id, roi, weight::double as n from example_bodyid_network where roi is not null and weight > 0), s as (select id, roi, sum(n) as n from c where id is not null group by 1, 2), p as (select id, roi, n / sum(n) over (partition by id) as p from s)"
 
 
-@R.add(f"""with {_REGIONS}, u as (select id, roi, p / sqrt(sum(p * p) over (partition by id)) as p from p), q as (select * from u where id like '%00'), b as (select id as query, roi, p as q, 0 as m from q union all select id, case when roi like '%(L)' then replace(roi, '(L)', '(R)') when roi like '%(R)' then replace(roi, '(R)', '(L)') else roi end, p, 1 from q),
-g as (select query, id, sum(case when m = 0 then p * q else 0 end) as a, sum(case when m = 1 then p * q else 0 end) as b from b join u using (roi) where query <> id group by 1, 2) select query, id, round(a, 9) as direct, round(b, 9) as mirrored, round(greatest(a, b), 9) as score from g""")
-def m30_region_screen(spark: SparkSession, d: str) -> DataFrame:
-    """M30, M31, SC22: input and output region profiles of every twentieth neuron against all, as they are and mirrored.
+_SCREEN = f"""once as (select distinct {V.sql_canonical("bodyId_pre")} as pre, {V.sql_canonical("bodyId_post")} as post, roi, weight, cached_date from example_bodyid_network where roi is not null and weight > 0),
+c as (select post as id, 'in' as block, roi, sum(weight)::double as n from once where post is not null group by all union all select pre, 'out', roi, sum(weight)::double from once where pre is not null group by all),
+u as (select id, block, roi, n / sqrt(sum(n * n) over (partition by id, block)) as p from c), q as (select *, case when roi like '%(L)' then roi[:-4] || '(R)' when roi like '%(R)' then roi[:-4] || '(L)' else roi end as other from u where try_cast(id as decimal(38, 0)) % 20 = 0), k as (select id, count(distinct block) as k from q group by 1),
+g as (select q.id as query, u.id, sum(case when q.roi = u.roi then q.p * u.p else 0 end) as a, sum(case when q.other = u.roi then q.p * u.p else 0 end) as b from q join u on q.block = u.block and (q.roi = u.roi or q.other = u.roi) where q.id <> u.id group by 1, 2),
+s as (select query, g.id, round(a / k, 9) as direct, round(b / k, 9) as mirrored, round(greatest(a, b) / k, 9) as score from g join k on k.id = query)"""
 
-    The SQL has the inputs only, of ids that end in 00.
-    """
+
+@R.add(f"with {_SCREEN} select query, id, direct, mirrored, score, rank::int as rank from (select *, row_number() over (partition by query order by score desc, id) as rank from s) where rank <= 10")
+def m30_region_screen(spark: SparkSession, d: str) -> DataFrame:
+    """M30, M31, SC22: input and output region profiles of every twentieth neuron against all, as they are and mirrored;
+    the ten nearest of each."""
     c = _both_regions(spark, d)
-    return vectors.region_screen(c, c.where(F.try_mod(F.col("id").try_cast("decimal(38,0)"), F.lit(20)) == 0).select("id"))
+    return vectors.region_screen(c, c.where(F.try_mod(F.col("id").try_cast("decimal(38,0)"), F.lit(20)) == 0).select("id"), 10)
 
 
 @R.add(f"with {_REGIONS} select id, roi, round(sqrt(p), 9) as h from p")

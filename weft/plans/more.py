@@ -10,9 +10,9 @@ from weft.operators import filters, lines
 from weft.operators import graph as G
 from weft.operators import profiles as P
 from weft.plans import views as V
-from weft.plans.compare import _SCORES, _all_scores
+from weft.plans.compare import _ALL_SCORES, _all_scores
 from weft.plans.core_problems import SQL_CURRENT
-from weft.plans.graphs import _HEAVY, _PATHS, _SRC, _TGT, _ends, _network
+from weft.plans.graphs import _EDGES, _PATHS, _SRC, _TGT, SOURCES, TARGETS, _ends, _network
 from weft.plans.registry import Registry
 from weft.session import table
 from weft.sources import formats
@@ -20,26 +20,26 @@ from weft.sources.tables import current_neurons
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
-_RATIO = f"with recursive {V.TYPE_EDGES}, heavy as (select pre, post, weight / t as weight from (select *, sum(weight) over (partition by post) as t from type_edges) where weight / t >= 0.05 and pre <> post)"
+_RATIO = f"with recursive {V.TYPE_EDGES}, net as (select pre, post, weight / t as weight from (select *, sum(weight) over (partition by post) as t from type_edges) where weight / t >= 0.01 and pre <> post)"
 
 
 @R.add(f"{_RATIO}, {_PATHS}, k as (select path, w from p where path[-1] in (select node from {_TGT})) select array_to_string(path, '->') as path, round(w, 9) as bottleneck from k where w >= (select min(w) from (select w from k order by w desc limit 30))")
 def g29_ratio_paths(spark: SparkSession, d: str) -> DataFrame:
     """G29, O1, SC3: the strongest paths by share of input, end to end."""
-    paths, _ = G.ratio_paths(V.type_edges(spark, d), _ends(spark, d, "d"), _ends(spark, d, "v"), 0.05, 2, None, 30)
+    paths, _ = G.ratio_paths(V.type_edges(spark, d), _ends(spark, d, SOURCES), _ends(spark, d, TARGETS), 0.01, 2, None, 30)
     return paths.select(F.array_join("path", "->").alias("path"), F.round("bottleneck", 9).alias("bottleneck"))
 
 
-@R.add(f"with recursive {_HEAVY}, {_PATHS}, k as (select path, w, len(path) as n, path[1] as s, path[-1] as t from p where path[-1] in (select node from {_TGT})), m as (select s, t, min(n) as n from k group by 1, 2) select array_to_string(path, '->') as path, w::double as bottleneck from k join m using (s, t, n) where t in (select distinct post from heavy where starts_with(post, 'v') order by 1 limit 12)")
+@R.add(f"with recursive {_EDGES}, {_PATHS}, k as (select path, w, len(path) as n, path[1] as s, path[-1] as t from p where path[-1] in (select node from {_TGT})), m as (select s, t, min(n) as n from k group by 1, 2) select array_to_string(path, '->') as path, w::double as bottleneck from k join m using (s, t, n)")
 def g28_batched_shortest(spark: SparkSession, d: str) -> DataFrame:
-    """Shortest paths to all targets in batches of six. The SQL has twelve of the targets."""
-    return G.batched_shortest(_network(spark, d), _ends(spark, d, "d"), _ends(spark, d, "v"), 3, 6).select(F.array_join("path", "->").alias("path"), "bottleneck")
+    """Shortest paths to all targets in batches of six."""
+    return G.batched_shortest(_network(spark, d), _ends(spark, d, SOURCES), _ends(spark, d, TARGETS), 3, 6).select(F.array_join("path", "->").alias("path"), "bottleneck")
 
 
 _LETTER = "l as (select type as node, type[1] as label from canonical_types)"
 
 
-@R.add(f"with {_HEAVY}, {_LETTER} select a.pre || '->' || a.post || '->' || b.post as path, least(a.weight, b.weight)::double as bottleneck from heavy a join heavy b on a.post = b.pre join l x on x.node = a.pre and x.label = 'd' join l y on y.node = a.post and y.label = 'm' join l z on z.node = b.post and z.label = 'v' where a.pre <> b.post")
+@R.add(f"with {_EDGES}, {_LETTER} select a.pre || '->' || a.post || '->' || b.post as path, least(a.weight, b.weight)::double as bottleneck from net a join net b on a.post = b.pre join l x on x.node = a.pre and x.label = 'd' join l y on y.node = a.post and y.label = 'm' join l z on z.node = b.post and z.label = 'v' where a.pre <> b.post")
 def g43_chain_paths(spark: SparkSession, d: str) -> DataFrame:
     """The paths behind a chain of labels."""
     lab = table(spark, d, "canonical_types").select(F.col("type").alias("node"), F.substring("type", 1, 1).alias("label"))
@@ -60,9 +60,9 @@ def a24_two_hop(spark: SparkSession, d: str) -> DataFrame:
     return P.two_hop_profile(V.pairs(spark, d), V.types(spark, d), 5)
 
 
-@R.add(f"with {_SCORES}, s as (select * from scores where source <> target) select target, count(distinct source) as n_sources, (select source from s t where t.target = s.target order by jaccard desc, coalesce(rank_union, -2) desc, source desc limit 1) as best_source, max(jaccard) as jaccard from s group by target")
+@R.add(f"with {_ALL_SCORES}, s as (select * from scores where source <> target) select target, count(distinct source) as n_sources, (select source from s t where t.target = s.target order by jaccard desc, coalesce(rank_union, -2) desc, source desc limit 1) as best_source, max(jaccard) as jaccard from s group by target")
 def e16_pooled(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of all sources pooled by target. The SQL has every twentieth source only."""
+    """Candidates of all sources pooled by target."""
     return P.pooled(_all_scores(spark, d).where("source <> target"))
 
 
@@ -100,10 +100,10 @@ def x20_exact_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "example_bodyid_network").select("row_id", formats.exact_id(F.trim("bodyId_pre")).alias("id"))
 
 
-@R.add(f"with recursive {_HEAVY}, {_PATHS} select array_to_string(path, '->') as path, contains(array_to_string(path, '->'), 'Nok') as excluded from p where path[-1] in (select node from {_TGT})")
+@R.add(f"with recursive {_EDGES}, {_PATHS} select array_to_string(path, '->') as path, contains(array_to_string(path, '->'), 'Nok') as excluded from p where path[-1] in (select node from {_TGT})")
 def f19_path_keywords(spark: SparkSession, d: str) -> DataFrame:
     """Paths by a literal keyword."""
-    paths = G.simple_paths(_network(spark, d), _ends(spark, d, "d"), _ends(spark, d, "v"), 3).select(F.array_join("path", "->").alias("path"))
+    paths = G.simple_paths(_network(spark, d), _ends(spark, d, SOURCES), _ends(spark, d, TARGETS), 3).select(F.array_join("path", "->").alias("path"))
     return paths.select("path", F.col("path").contains("Nok").alias("excluded"))
 
 
@@ -125,7 +125,7 @@ def j15_null_safe(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(F.col("row_id").alias("a")).agg(F.sum(F.coalesce("k", F.lit(0)) * F.col("c")).alias("n"))
 
 
-@R.add(f"with {_HEAVY}, scope as (select pre, post from heavy) select a.type as pre, b.type as post, count(*) as n, sum(weight) filter (weight >= 5)::bigint as strong from pairs join types a on pairs.pre = a.bodyId join types b on pairs.post = b.bodyId where (a.type, b.type) in (select pre, post from scope) group by 1, 2")
+@R.add(f"with {_EDGES}, scope as (select pre, post from net) select a.type as pre, b.type as post, count(*) as n, sum(weight) filter (weight >= 5)::bigint as strong from pairs join types a on pairs.pre = a.bodyId join types b on pairs.post = b.bodyId where (a.type, b.type) in (select pre, post from scope) group by 1, 2")
 def j13_route_scope(spark: SparkSession, d: str) -> DataFrame:
     """Body-level edges within the routes of the type network, in tiers."""
     t = V.types(spark, d)

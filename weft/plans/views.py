@@ -40,7 +40,7 @@ def nations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def type_edges(spark: SparkSession, d: str) -> DataFrame:
-    """``pre, post, weight``: the network between types, heavy enough to be sparse."""
+    """``pre, post, weight``: the network between types."""
     t = types(spark, d)
     e = pairs(spark, d).join(t.select(F.col("bodyId").alias("pre"), F.col("type").alias("tp")), "pre").join(t.select(F.col("bodyId").alias("post"), F.col("type").alias("tq")), "post")
     return e.groupBy(F.col("tp").alias("pre"), F.col("tq").alias("post")).agg(F.sum("weight").alias("weight"))
