@@ -11,8 +11,6 @@ import pytest
 
 import __spark_entry__ as entry
 from test_entry import normal
-from pyspark.sql import functions as F
-from weft.llm.text_quality import _line_facts
 from weft.operators import graph as G
 from weft.plans.core_problems import sql_canonical
 
@@ -118,8 +116,3 @@ def test_docstrings_name_no_id_that_is_left_out():
             if ends:
                 ids = {f"{ends[1]}{i}" for i in range(int(ends[2]), int(ends[3] or ends[2]) + 1)}
                 assert not ids & left, name
-
-
-def test_short_lines_of_two_addresses_are_machine_output(spark):
-    lines = spark.createDataFrame([("0x1a2b 0x3c4d",), ("0x1a2b 0x3c",), ("a 0x1a2b3c4d here",)], "line string")
-    assert [r["m"] for r in lines.select(_line_facts(F.col("line"))["machine"].alias("m")).collect()] == [True, False, False]
