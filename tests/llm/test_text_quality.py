@@ -35,3 +35,30 @@ def test_empty(spark):
     common = spark.createDataFrame([], "lang string, word string")
     assert tq.classify(docs, common).count() == 0
     assert tq.classify(spark.createDataFrame([(1, "some text here")], "doc_id bigint, text string"), common).count() == 1
+
+
+def test_statistics_against_brute_force():
+    import re
+
+    import numpy as np
+
+    common = tq.word_hashes(["the", "été", "is"])
+    texts = ["The Été is dark.\nIt ends; the end!\n\n- 1,2 | x_9\n", "ÀÉ  §§ a·b", "x" * 70000, ". . .", "a1 b2\tc3\n" * 9, "Same here. Same here. Other?"]
+    got = tq._statistics(texts, common)
+    for t, row in zip(texts, got, strict=True):
+        r = dict(zip(tq.STATISTICS, row, strict=True))
+        words = re.findall(r"[^\W_]+(?:_[^\W_]+)*_?", t.lower())
+        lines = [x.strip() for x in t.split("\n") if x.strip()]
+        parts = [p.strip().lower() for p in re.split(r"[.!?\n]", t) if p.strip()]
+        solid = [c for c in t if not c.isspace()]
+        assert (r["n_chars"], r["n_words"], r["n_lines"]) == (len(t), len(words), len(lines))
+        assert np.isclose(r["distinct_word_share"], len(set(words)) / max(len(words), 1))
+        assert np.isclose(r["common_share"] * max(sum(any(c.isalpha() for c in w) for w in words), 1), sum(w in ("the", "été", "is") for w in words))
+        assert np.isclose(r["digit_ratio"], sum(c.isdigit() for c in solid) / len(solid))
+        assert np.isclose(r["symbol_ratio"], sum(not c.isalnum() for c in solid) / len(solid))
+        assert np.isclose(r["stop_line_share"], sum(x[-1] in ".!?:;\"')" for x in lines) / len(lines))
+        seen, again = set(), 0
+        for p in parts:
+            again += sum(not c.isspace() for c in p) * (p in seen)
+            seen.add(p)
+        assert np.isclose(r["repeated_part_share"], again / len(solid))

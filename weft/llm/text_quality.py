@@ -1,244 +1,352 @@
 """Statistics of texts, and by them the texts that are lists, tables or junk.
 
-Every statistic is computed on the whole text with built-in functions: lines are exploded, described by patterns
-and summed per document, which the map side combines at once. A Gaussian mixture with diagonal covariances is then
-fitted to the standardised statistics by expectation-maximisation over all documents; each iteration is one pass that
-returns sums per component. Components start at inspected examples and take their kind from those they end up with.
+The statistics of a document are counts, lengths and shares of its whole text; a batch of texts is one buffer of
+bytes, over which all of them are summed at once. A Gaussian mixture with diagonal covariances is fitted to the
+standardised statistics of all documents by expectation-maximisation; a pass returns sums per component. How many
+components it has is settled by their likelihood (Akaike's criterion) on a bounded sample, where they also start.
+Inspected examples say afterwards which components are prose, lists, tables or junk.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.labels import strip
+from weft.llm.quality_examples import EXAMPLES
 from weft.session import cut, spread
 
 KINDS = ["prose", "list", "table", "junk"]
-#: Statistics that the mixture is fitted to.
-FEATURES = ["f_item", "f_table", "f_machine", "f_common", "f_symbol", "f_odd", "f_repeat", "f_loose", "f_scramble"]
-#: Iterations of expectation-maximisation, least standard deviation of a component (in those of all documents),
-#: and documents that the examples' components weigh at the start.
-ITERATIONS, LEAST_SD = 12, 0.25
-#: Most words a list of common words may have; it becomes part of the plan.
-MOST_COMMON_WORDS = 5000
-
-#: Inspected examples: short texts of each kind, written by hand after reading documents.
-EXAMPLES = [
-    ("prose", "The second reader followed the axon of this cell again, because the stain was poor there. It ends close to the border of the region, as far as the picture shows. We would keep the old name for now."),
-    ("prose", "Etwa die Hälfte der Eingänge kommt aus der linken Seite, und das ist für die Zählung nicht wichtig. Am Ende wurde der Name nicht geändert, weil die Zahl klein war."),
-    ("prose", "Nous avons vérifié le lien entre les deux cellules, mais on voit encore que la branche se termine près du bord. Pour cette raison le nom reste le même."),
-    ("prose", "En esta región la señal es buena, pero todavía se ve que el axón termina cerca del borde. Por eso el nombre de la célula no cambia."),
-    ("prose", "Traced lVasnor4a through TUR(R), membrane torn, signal weak near LOB(L). Asked the other tracer, answer pending. Nothing new around TUR(L), keep separate.\nCount low, a thin twig checked by hand. lVasnor5 done, lVasnor6 next."),
-    ("prose", "it took the team about two hours to find out where the main branch goes\nthere is no sign that both are the same cell, even if the count is right\nthe region is small so a few wrong points are enough to move the mean"),
-    ("prose", "## Notes\nWe found that the branch is thick here and that it leaves the region on the left. Two items are open:\n- the name\n- the count\nAll of the rest was checked by the night shift and should be read with the table that is kept with the release. Most of what we know about it comes from last year."),
-    ("list", "- vTalmon3: checked\n- dSurpek12a\n- the axon, dense\n- lVasnor4a TUR(R)\n- pBolgir7: merged"),
-    ("list", "1. vTalmon3: checked\n2. dSurpek12a\n3. the axon, dense\n4. lVasnor4a TUR(R)\n5. pBolgir7: merged"),
-    ("list", "[x] vTalmon3: checked\n[ ] dSurpek12a\n[x] the axon, dense\n[ ] lVasnor4a TUR(R)\n[ ] pBolgir7: merged"),
-    ("list", "* It took the team two hours to find out where the branch goes\n* There is no sign that both are the same cell\n* The region is small, so a few wrong points are enough to move the mean"),
-    ("list", "vTalmon3: checked.\ndSurpek12a.\nthe axon, dense.\nlVasnor4a TUR(R).\npBolgir7: merged."),
-    ("list", "TUR(L) = vTalmon3: checked\nTUR(R) = dSurpek12a\nLOB(L): the axon, dense\nLOB(R) = lVasnor4a\nKEM: pBolgir7: merged"),
-    ("table", "| name | count | ratio |\n|---|---|---|\n| vTalmon3 | 120 | 0.51 |\n| dSurpek12a | 88 | 0.07 |\n| lVasnor4a | NA | 0.9 |"),
-    ("table", "name\tcount\tratio\nvTalmon3\t120\t0.51\ndSurpek12a\t88\t0.07\nlVasnor4a\tNA\t0.9"),
-    ("table", "name,count,ratio\nvTalmon3,120,0.51\ndSurpek12a,88,0.07\nlVasnor4a,NA,0.9\npBolgir7,15,0.333"),
-    ("table", "name         count    ratio\nvTalmon3     120      0.51\ndSurpek12a   88       0.07\nlVasnor4a    NA       0.9"),
-    ("table", "name & count & ratio \\\\\nvTalmon3 & 120 & 0.51 \\\\\ndSurpek12a & 88 & 0.07 \\\\"),
-    ("table", "+------+-----+-----+\n| name | pre | post |\n| vTalmon3 | 12 | 15 |\n| dSurpek12a | 88 | 7 |\n+------+-----+-----+"),
-    ("junk", "loading loading loading loading loading loading loading loading loading loading loading loading loading loading"),
-    ("junk", "go to the next page\ngo to the next page\ngo to the next page\ngo to the next page\ngo to the next page\ngo to the next page\ngo to the next page"),
-    ("junk", "The link of these cells has many points on the left. The link of these cells has many points on the left. The link of these cells has many points on the left. The link of these cells has many points on the left."),
-    ("junk", "[12:01:44] INFO job-3 rc=0 mem=120M part=9f3b22c1aa\n[12:01:59] WARN job-1 rc=1 mem=80M part=77ab01ce9d\n[12:02:10] INFO job-2 rc=0 mem=99M part=0c0ffe9912"),
-    ("junk", "9f3b22c1aa77ab01ce9d0c0ffe99129f3b22c1aa\n77ab01ce9d0c0ffe99129f3b22c1aa1234abcdef\n0c0ffe99129f3b22c1aa77ab01ce9d99aa77cc01"),
-    ("junk", "----====....####!!!!????----====....####!!!!????####----====....####!!!!????----====....####"),
-    ("junk", "ÂŸÃÃ¼¬eÂ§nsÃâ€©Ãt°Â‚¬Ã§Ãe âÃn¼Â¬©nÃstÃ §¬âÂŸÃÃ¼¬eÂ§nÃâ©t°Â‚¬Ã§"),
-    ("junk", "wq zzrtkp ggaoq tthwuq pplk aaeiwz kkfsg oodjtq zzuqwp hhjkd ttraqp ggzzlw kkqpod aajjtw ppwqzo ttkkdf"),
-    ("junk", "W~Y THi M^_* 'RU!: S_OlD B} ~{ ^AD!< ^i\\I}E! N {X(L) I_ NO1 \\LE!R T} US^ T;* L!NK }'O{ !1A"),
-    ("junk", "vTalmon3, dSurpek12a, TUR(L), lVasnor4a, pBolgir7, LOB(R), mKirdan2, aFelso15b, vTalmon4, TUR(R), dSurpek3, lVasnor8"),
-    ("junk", "vTalmon3 | dSurpek12a | TUR(L) | lVasnor4a | pBolgir7 | LOB(R) | mKirdan2 | aFelso15b | vTalmon4 | TUR(R) | dSurpek3"),
-    ("junk", "reader vTalmon3 branch again checked dense TUR(L) second morning lVasnor4a names count picture release axon trunk night merged pBolgir7 split student table"),
-]
-
-_MARKER = r"^\s*(?:[-*•‣◦▪▸–—·+]|\(?(?:[0-9]{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.)]|\[[ xX✓]?\])\s+\S"
-_NUMBER = r"(?:[-+]?[0-9]+(?:[.,][0-9]+)?%?|NA|-|)"
-
-
-def _trie(words: list[str]) -> str:
-    """A pattern of all ``words`` that shares their beginnings."""
-    tree: dict = {}
-    for w in words:
-        at = tree
-        for ch in w:
-            at = at.setdefault(ch, {})
-        at[""] = {}
-
-    def text(node: dict) -> str:
-        rest = [ch.replace("'", "['’]") + text(n) for ch, n in sorted(node.items()) if ch]
-        return ("(?:" + "|".join(rest) + ")" + ("?" if "" in node else "")) if rest else ""
-
-    return text(tree)
-
-
-def common_pattern(common: DataFrame) -> str:
-    """The pattern of the words of ``common.word``, a small fixed table of at most ``MOST_COMMON_WORDS`` rows."""
-    words = [r["word"].lower() for r in common.where("word is not null").select("word").distinct().limit(MOST_COMMON_WORDS + 1).collect()]
-    if len(words) > MOST_COMMON_WORDS:
-        raise ValueError(f"more than {MOST_COMMON_WORDS} common words")
-    return r"(?<![\p{L}\p{N}_])" + (_trie(sorted(words)) if words else "(?!)") + r"(?![\p{L}\p{N}_])"
-
-
-def _line_facts(raw: Column) -> Column:
-    """What one line holds. Patterns are only tried on lines with the characters that they need."""
-    line, bare = F.rtrim(raw), strip(raw)
-    n = F.length(bare)
-    count = lambda p: F.regexp_count(line, F.lit(p))
-    ifhas = lambda c, x: F.when(line.contains(c), x).otherwise(0)
-    gap = line.contains("  ") | line.contains("\t")
-    numeric = lambda d: count(rf"(?:^|(?<={d}))[ ]*{_NUMBER}[ ]*(?={d}|$)")
-    loose = lambda d: F.when(line.contains(d), bare.rlike(rf"(?<!{d})\s")).otherwise(True)
-    return F.struct(
-        n.alias("n"), F.when(gap | (n <= 40), count(r"\S+")).otherwise(99).alias("words"), F.when(gap, count(r"\S(?: {2,}|\t)(?=\S)")).otherwise(0).alias("gaps"), F.when(gap, line.rlike(r"[.!?] {2,}\p{Lu}")).otherwise(False).alias("sentences"),
-        *[x for d, name in ((",", "comma"), (";", "semi")) for x in (ifhas(d, count(d)).alias(name), ifhas(d, numeric(d)).alias(f"{name}_num"), loose(d).alias(f"{name}_loose"))], (gap | bare.contains(" ")).alias("spaced"),
-        ifhas("\t", count("\t")).alias("tabs"), ifhas("\t", F.when(line.rlike(rf"\t{_NUMBER}$"), 1).otherwise(0)).alias("tab_num"), ifhas(" | ", count(r" \| ")).alias("pipes"), ifhas(" | ", count(rf"(?:^|\| ){_NUMBER}(?= \||$)")).alias("pipe_num"), (line.contains(" & ") & line.endswith("\\\\")).alias("latex"),
-        F.when(line.contains("|") | line.contains("+"), line.rlike(r"^\s*\|.*\|\s*$") | line.rlike(r"^\s*[+|][-+|:= ]{4,}$")).otherwise(False).alias("framed"),
-        (F.when(line.contains("="), line.rlike(r"(?:[0-9]{2}:[0-9]{2}:[0-9]{2}.*\S=\S)|(?:(?:^|\s)\S+=\S+\s.*\s\S+=\S+)")).otherwise(False) | F.when(n >= 24, line.rlike(r"[0-9a-fA-F]{24,}|^(?=.*[A-Za-z0-9]{16})[A-Za-z0-9+/=_-]{40,}$")).otherwise(False) | F.when(line.contains("0x"), line.rlike(r"0x[0-9a-fA-F]{4,}.*0x[0-9a-fA-F]{4,}")).otherwise(False)).alias("machine"),
-        (line.rlike(_MARKER) | F.when(n <= 60, line.rlike(r"^\s*(?:\S{1,20} = |\p{Lu}\S{0,19}: )\S")).otherwise(False)).alias("marked"), bare.startswith("#").alias("heading"), F.substring(bare, -1, 1).isin(*".!?:;…。\"”»)").alias("stop"),
-    )
-
-
-def _line_kinds() -> Column:
-    """From the facts: the characters of the line that count for each kind."""
-    c = F.col
-    split = F.lit(False)
-    for name in ("comma", "semi"):
-        several = (c(name) >= 2) & (c(f"{name}_num") * 3 >= c(name) + 1) & (c(f"{name}_num") >= 2)
-        # blanks only after the separators, or none at all
-        split = split | several | ((c(name) >= 2) & ~c(f"{name}_loose") & ((c(f"{name}_num") >= 1) | ~c("spaced")))
-    columns = (c("gaps") >= 2) & (c("words") <= 4 * (c("gaps") + 1)) & ~c("sentences")
-    table = c("framed") | columns | split | (c("tabs") >= 2) | c("latex") | ((c("pipes") >= 2) & (c("pipe_num") >= 1)) | ((c("tabs") == 1) & (c("tab_num") == 1))
-    short = (c("n") <= 40) & (c("words") <= 5) & ~c("heading")
-    size = lambda x: F.when(x, c("n")).otherwise(0)
-    return F.struct(size(table & ~c("machine")).alias("table"), size(c("machine")).alias("machine_chars"), size(c("marked") & ~c("machine") & ~c("framed")).alias("marked_chars"), size(short & ~c("marked") & ~c("machine") & ~table).alias("short"))
+#: Statistics that the mixture sees as logarithms (lengths) and as square roots (ratios and shares).
+LENGTHS = ["n_words", "words_per_line", "mean_word_length"]
+SHARES = ["symbol_ratio", "digit_ratio", "non_ascii_ratio", "stop_line_share", "common_share", "distinct_word_share", "code_share", "number_share", "inner_symbol_ratio", "nonletter_line_share", "separator_ratio", "short_line_share", "repeated_part_share", "compression"]
+STATISTICS = ["n_chars", "n_words", "n_lines", *LENGTHS[1:], *SHARES]
+#: Documents on which the number of components is settled and started, in hash order; the fit itself sees all.
+START_DOCS = 6000
+#: Numbers of components that are compared, and starts of each.
+COMPONENTS, STARTS = (32, 48, 64, 96), 2
+#: Least standard deviation of a component in those of all documents, and documents' worth of it that every component has.
+LEAST_SD, PRIOR = 0.15, 0.5
+#: The fit ends when a pass raises the mean log-likelihood by less; more passes than these are an error.
+GAIN, MOST_PASSES = 1e-3, 300
+#: Examples that say what a component is.
+NEAREST = 7
+#: Bytes of text that are looked at together, and words of a line up to which it is short.
+CHUNK, SHORT_LINE = 1 << 20, 6
+
+_SPACE, _BREAK, _LETTER, _DIGIT, _SYMBOL, _TAIL = range(6)
+
+
+def _byte_classes() -> np.ndarray:
+    """The class of each byte of UTF-8; that of a character is the class of its first byte."""
+    out = np.full(256, _SYMBOL, np.uint8)
+    out[[9, 11, 12, 13, 32]], out[10], out[48:58] = _SPACE, _BREAK, _DIGIT
+    out[65:91] = out[97:123] = out[0xC3:0xE2] = out[0xE3:0xEF] = _LETTER
+    out[0x80:0xC0] = _TAIL
+    return out
+
+
+def _flags(characters: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[ord(c) for c in characters]] = True
+    return out
+
+
+_CLASS, _STOP, _END, _SEPARATOR = _byte_classes(), _flags(".!?:;\"')"), _flags(".!?"), _flags(",;|&\t")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BASE, _MIX, _DOC = np.uint64(1099511628211), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[1], np.full(max(n, 1) - 1, _BASE)]).astype(np.uint64), dtype=np.uint64)
+
+
+def _run_hashes(low: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; runs do not overlap and none is empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    first = np.concatenate([[0], np.cumsum(length)[:-1]])
+    at = np.arange(int(length.sum())) - np.repeat(first, length)
+    values = (low[np.repeat(start, length) + at].astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[at]
+    return np.add.reduceat(values, first)
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """The sorted hashes of ``words``, by which a batch of texts finds them."""
+    coded = [np.frombuffer(w.lower().encode(), np.uint8) for w in words if w.strip()]
+    return np.unique(np.array([_run_hashes(b, np.array([0]), np.array([len(b)]))[0] for b in coded], np.uint64))
+
+
+def _first_of_kind(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``key`` and, in it, whether a value comes for the first time."""
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    return order, np.concatenate([[True], sorted_[1:] != sorted_[:-1]]) if len(key) else np.zeros(0, bool)
+
+
+def _spans(mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last marked byte of each run from ``start`` to before ``end``; runs without one are left out."""
+    at = np.flatnonzero(mark)
+    a, b = np.searchsorted(at, start), np.searchsorted(at, end)
+    return at[a[b > a]], at[b[b > a] - 1]
+
+
+def chunk_statistics(texts: list[bytes], common: np.ndarray) -> np.ndarray:
+    """One row of ``STATISTICS`` for each of ``texts``, which are UTF-8 with plain line feeds and none blank."""
+    n = len(texts)
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    cls, low = _CLASS[buf], _LOWER[buf]
+    tails = np.flatnonzero(cls == _TAIL)
+    is_char = cls != _TAIL
+    if len(tails):
+        # capital letters of the Latin-1 block, then the class of the first byte for the bytes that follow it
+        low[tails[(buf[tails - 1] == 0xC3) & (buf[tails] <= 0x9E) & (buf[tails] != 0x97)]] += 0x20
+        for _ in range(3):
+            todo = tails[cls[tails] == _TAIL]
+            before = cls[todo - 1]
+            cls[todo[before != _TAIL]] = before[before != _TAIL]
+    per_doc = lambda mask: np.add.reduceat(mask.astype(np.int32), starts).astype(float)
+    one = lambda x: np.maximum(x, 1.0)
+    shifted = lambda x: np.concatenate([x[:1] * 0, x[:-1]])
+    letter, symbol, solid = (cls == _LETTER), (cls == _SYMBOL) & is_char, cls >= _LETTER
+    n_chars, n_symbols, n_digits = per_doc(is_char) - 1, per_doc(symbol), per_doc(cls == _DIGIT)
+    n_solid = per_doc(solid & is_char)
+
+    in_word = letter | (cls == _DIGIT) | (buf == 95)
+    begins = in_word & ~shifted(in_word)
+    w_at = np.flatnonzero(begins)
+    w_len = np.flatnonzero(in_word & ~np.concatenate([in_word[1:], [False]])) + 1 - w_at
+    w_doc = np.searchsorted(starts, w_at, "right") - 1
+    words = lambda x: np.bincount(w_doc, weights=x, minlength=n)
+    hashes = _run_hashes(low, w_at, w_len)
+    found = np.searchsorted(common, hashes)
+    is_common = (np.append(common, np.uint64(0))[found] == hashes) & (found < len(common))
+    total = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+    letters, digits = total(letter & is_char), total(cls == _DIGIT)
+    w_letters, w_digits = letters[w_at + w_len] - letters[w_at], digits[w_at + w_len] - digits[w_at]
+    n_words, n_alpha = words(np.ones(len(w_at))), words((w_letters > 0) * 1.0)
+    order, new = _first_of_kind(hashes * _MIX + w_doc.astype(np.uint64) * _DOC)
+    n_distinct = np.bincount(w_doc[order[new]], minlength=n)
+    inner = per_doc((cls == _SYMBOL) & shifted(letter) & np.concatenate([letter[1:], [False]]))
+
+    l_end = np.flatnonzero(cls == _BREAK)
+    first, last = _spans(solid, np.concatenate([[0], l_end[:-1] + 1]), l_end)
+    l_doc = np.searchsorted(starts, first, "right") - 1
+    lines = lambda x: np.bincount(l_doc, weights=x, minlength=n)
+    chars, breaks, wordy = total(solid & is_char), _SEPARATOR[buf], total(begins)
+    blank = cls == _SPACE
+    gap = blank & shifted(blank) & ~shifted(shifted(blank))  # a run of blanks is one separator
+    separators = total(breaks | gap)
+    l_chars, l_words = (chars[last + 1] - chars[first]).astype(float), wordy[last + 1] - wordy[first]
+    l_separators = separators[last + 1] - separators[first]
+    n_lines, in_lines = lines(np.ones(len(first))), one(lines(l_chars))
+    by_line = {
+        "words_per_line": lines(l_words * l_chars) / in_lines, "stop_line_share": lines(_STOP[buf[last]] * 1.0) / one(n_lines), "nonletter_line_share": lines((cls[first] != _LETTER) * l_chars) / in_lines,
+        "separator_ratio": lines(np.minimum(l_separators / one(l_words), 1.0) * l_chars) / in_lines, "short_line_share": lines((l_words <= SHORT_LINE) * l_chars) / in_lines,
+    }
+
+    # what stands between full stops, question and exclamation marks and line ends
+    p_end = np.flatnonzero((cls == _BREAK) | _END[buf])
+    first, last = _spans(solid & ~_END[buf], np.concatenate([[0], p_end[:-1] + 1]), p_end)
+    p_doc = np.searchsorted(starts, first, "right") - 1
+    p_chars = (chars[last + 1] - chars[first]).astype(float)
+    order, new = _first_of_kind(_run_hashes(low, first, last + 1 - first) * _MIX + p_doc.astype(np.uint64) * _DOC)
+    repeated = np.bincount(p_doc[order[~new]], weights=p_chars[order[~new]], minlength=n)
+    packed = np.array([len(zlib.compress(t, 1)) for t in texts], float)
+
+    out = by_line | {
+        "n_chars": n_chars, "n_words": n_words, "n_lines": n_lines, "mean_word_length": words((w_letters + w_digits) * 1.0) / one(n_words),
+        "symbol_ratio": n_symbols / one(n_solid), "digit_ratio": n_digits / one(n_solid), "non_ascii_ratio": per_doc(buf >= 0xC0) / one(n_chars),
+        "common_share": words(is_common * 1.0) / one(n_alpha), "distinct_word_share": n_distinct / one(n_words), "code_share": words(((w_letters > 0) & (w_digits > 0)) * 1.0) / one(n_words),
+        "number_share": words((w_letters == 0) * 1.0) / one(n_words), "inner_symbol_ratio": inner / one(n_words), "repeated_part_share": repeated / one(n_solid), "compression": packed / one(sizes),
+    }
+    return np.stack([out[c] for c in STATISTICS], axis=1)
+
+
+def _statistics(texts: list[str], common: np.ndarray) -> np.ndarray:
+    """``chunk_statistics`` of any number of texts, a bounded number of bytes (or one text) at a time."""
+    coded = [t.replace("\r\n", "\n").replace("\r", "\n").encode("utf-8", "replace") for t in texts]
+    done, i = [np.zeros((0, len(STATISTICS)))], 0
+    while i < len(coded):
+        j, size = i + 1, len(coded[i])
+        while j < len(coded) and size + len(coded[j]) <= CHUNK:
+            size, j = size + len(coded[j]), j + 1
+        done.append(chunk_statistics(coded[i:j], common))
+        i = j
+    return np.concatenate(done)
 
 
 def text_statistics(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document with text: its id and its statistics. Null and blank texts and null ids have none.
+    """One row per document with text: its id, a hash of its text and its statistics. Null and blank texts and null
+    ids have none.
 
-    Rows that repeat both id and text count once; an id with several texts has a row for each.
+    Rows that repeat both id and text count once; an id with several texts has a row for each. ``common.word`` is a
+    fixed list of words, which becomes part of the plan. Shares of lines count their characters, but for
+    ``stop_line_share``, which counts lines; ``compression`` is the compressed size as a part of the whole.
     """
-    clean = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.regexp_replace(F.col(text), r"\r\n?", "\n").alias("t")).where(F.col("t").rlike(r"\S"))
+    listed = word_hashes([r["word"] for r in common.where("word is not null").select("word").distinct().collect()])
+    clean = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).where(F.col("t").rlike(r"\S"))
     clean = spread(clean.select("doc_id", "t", F.xxhash64("t").alias("h")))
-    lines = clean.select("doc_id", "h", F.explode(F.split("t", "\n")).alias("line")).where(strip(F.col("line")) != "")
-    # inline of one element keeps the facts from being worked out once for every use
-    facts = lines.select("doc_id", "h", F.inline(F.array(_line_facts(F.col("line")))))
-    described = facts.select("doc_id", "h", "n", "stop", F.inline(F.array(_line_kinds())))
-    per_line = described.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("all_lines"), F.sum("n").alias("line_chars"), *[F.sum(c).alias(f"c_{c.removesuffix('_chars')}") for c in ("table", "machine_chars", "marked_chars", "short")], F.count_if("stop").alias("n_stop"))
-    t = F.col("t")
-    count = lambda p: F.regexp_count(t, F.lit(p))
-    words = F.filter(F.split(F.lower(t), r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w != "")
-    parts = F.filter(F.transform(F.split(t, r"[.!?\n]+"), strip), lambda x: x != "")
-    whole = clean.select(
-        "doc_id", "h", F.length("t").alias("n_chars"), F.size(F.filter(F.split("t", "\n"), lambda x: strip(x) != "")).alias("n_lines"), count(r"\S+").alias("n_words"), F.regexp_count(F.lower(t), F.lit(common_pattern(common))).alias("n_common"),
-        count(r"[\p{L}\p{M}]+").alias("n_alpha"), F.length(F.regexp_replace(t, r"[^\p{L}\p{M}]+", "")).alias("letters"), F.length(F.regexp_replace(t, r"[\p{L}\p{M}\p{N}\s]+", "")).alias("symbols"), F.length(F.regexp_replace(t, r"[^0-9]+", "")).alias("digits"), F.length(F.regexp_replace(t, r"\s+", "")).alias("solid"),
-        count(r"[ÂÃâ€�¬©§¼½¾¤¶¦\x{80}-\x{9f}]").alias("odd"), count(r"[\p{L}][~^_*<>{}\[\]\\|!;:'`@#$%=+]+[\p{L}]|(?<!\S)[~^_*<>{}\\|!;:@$%=]+[\p{L}]|[\p{L}][~^_*<>{}\\|@$%=]+(?!\S)").alias("scrambled"),
-        count(r"[.,;:!?…](?=\s|$)").alias("stops"), count(r"[,;|](?=\s)").alias("seps"), F.size(words).alias("w"), F.size(F.array_distinct(words)).alias("w_distinct"), F.size(parts).alias("p"), F.size(F.array_distinct(parts)).alias("p_distinct"),
-    )
-    n = F.greatest(F.col("line_chars"), F.lit(1))
-    all_stats = whole.dropDuplicates(["doc_id", "h"]).join(per_line, ["doc_id", "h"]).select(
-        "doc_id", "h", "n_chars", "n_words", "n_lines", (F.col("letters") / F.greatest("n_alpha", F.lit(1))).alias("mean_word_length"), (F.col("symbols") / F.greatest("solid", F.lit(1))).alias("symbol_ratio"), (F.col("digits") / F.greatest("solid", F.lit(1))).alias("digit_ratio"),
-        (F.col("n_stop") / F.col("all_lines")).alias("stop_line_share"), (F.col("n_common") / F.greatest("n_alpha", F.lit(1))).alias("common_share"), (F.col("c_marked") / n).alias("marked_share"), (F.col("c_short") / n).alias("short_share"), (F.col("c_table") / n).alias("table_share"), (F.col("c_machine") / n).alias("machine_share"),
-        (F.col("odd") / F.greatest("solid", F.lit(1))).alias("odd_share"), (F.col("scrambled") / F.greatest("n_words", F.lit(1))).alias("scrambled_share"), (F.col("stops") / F.greatest("n_words", F.lit(1))).alias("stop_share"), (F.col("seps") / F.greatest("n_words", F.lit(1))).alias("separator_share"),
-        (F.col("w_distinct") / F.greatest("w", F.lit(1))).alias("distinct_word_share"), (F.col("p_distinct") / F.greatest("p", F.lit(1))).alias("distinct_part_share"), (F.col("w") / F.greatest("p", F.lit(1))).alias("words_per_part"), F.col("w").alias("n_tokens"), F.col("w_distinct").alias("n_distinct"),
-    )
-    return all_stats
-
-
-def _step(x: Column, lo: float, hi: float) -> Column:
-    """0 up to ``lo``, 1 from ``hi``, linear between: a share that says little except on which side it is."""
-    return F.least(F.greatest((x - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0))
-
-
-def features(stats: DataFrame) -> DataFrame:
-    """``stats`` with the columns ``FEATURES``."""
-    c = F.col
-    out = stats.withColumns({
-        "f_item": _step(c("marked_share") + F.when((c("n_lines") >= 3) & (c("distinct_part_share") > 0.5), c("short_share") * _step(-c("common_share"), -0.42, -0.32)).otherwise(0.0), 0.4, 0.6),
-        "f_table": _step(c("table_share"), 0.4, 0.6),
-        "f_machine": _step(c("machine_share"), 0.4, 0.6),
-        "f_common": _step(c("common_share"), 0.05, 0.3),
-        "f_symbol": _step(c("symbol_ratio"), 0.2, 0.5),
-        "f_odd": _step(c("odd_share"), 0.03, 0.12),
-        "f_repeat": F.greatest(_step(-c("distinct_part_share"), -0.55, -0.3) * F.when(c("n_tokens") >= 12, 1.0).otherwise(0.0), _step(F.log(F.greatest(c("n_tokens"), F.lit(1))) - 2.6 * F.log(F.greatest(c("n_distinct"), F.lit(1))), 0.0, 0.6) * F.when(c("n_tokens") >= 6, 1.0).otherwise(0.0)),
-        "f_loose": _step(-c("common_share"), -0.3, -0.17) * F.greatest(_step(c("separator_share"), 0.4, 0.5) * _step(c("words_per_part"), 5.0, 9.0), _step(-c("stop_share"), -0.06, -0.02) * _step(c("words_per_part"), 8.0, 12.0)),
-        "f_scramble": _step(c("scrambled_share"), 0.12, 0.3),
-    })
-    return out.withColumn("x", F.array(*[F.coalesce(c(f), F.lit(0.0)) for f in FEATURES]))
-
-
-def _responsibilities(x: np.ndarray, means: np.ndarray, sds: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    log = np.log(weights) - np.log(sds).sum(1) - 0.5 * (((x[:, None, :] - means) / sds) ** 2).sum(2)
-    p = np.exp(log - log.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
-
-
-def fit_mixture(points: DataFrame, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, standard deviations and weights of a diagonal mixture for ``points.x``, started at ``starts``.
-
-    One pass over all points an iteration; only sums per component come back. Without points it stays at its start.
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = _statistics(b.column("t").to_pylist(), listed)
+            columns = [pa.array(found[:, i].astype(np.int64) if c.startswith("n_") else found[:, i]) for i, c in enumerate(STATISTICS)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *columns], names=["doc_id", "h", *STATISTICS])
+
+    fields = ", ".join(f"{c} {'bigint' if c.startswith('n_') else 'double'}" for c in STATISTICS)
+    return clean.mapInArrow(describe, f"doc_id {dict(clean.dtypes)['doc_id']}, h bigint, {fields}").dropDuplicates(["doc_id", "h"])
+
+
+def _vectors(stats: np.ndarray) -> np.ndarray:
+    """What the mixture sees of rows of ``STATISTICS``, not yet standardised."""
+    at = {c: stats[:, i] for i, c in enumerate(STATISTICS)}
+    return np.stack([np.log1p(at[c]) for c in LENGTHS] + [np.sqrt(np.maximum(at[c], 0.0)) for c in SHARES], axis=1)
+
+
+def _log_joint(x: np.ndarray, means: np.ndarray, sds: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The logarithm of weight and density of every component (columns) at every point (rows)."""
+    p = 1 / sds**2
+    square = x**2 @ p.T - 2 * x @ (means * p).T + (means**2 * p).sum(1)
+    return np.log(weights) - np.log(sds).sum(1) - 0.5 * square - 0.5 * x.shape[1] * np.log(2 * np.pi)
+
+
+def _responsibilities(x: np.ndarray, means: np.ndarray, sds: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """The share of each component in each point, and the summed log-likelihood."""
+    log = _log_joint(x, means, sds, weights)
+    top = log.max(1, keepdims=True)
+    p = np.exp(log - top)
+    total = p.sum(1, keepdims=True)
+    return p / total, float((top + np.log(total)).sum())
+
+
+def _sums(x: np.ndarray, model: tuple) -> tuple[np.ndarray, float]:
+    """Per component: weight, sums and sums of squares of the points; and their log-likelihood."""
+    r, likelihood = _responsibilities(x, *model)
+    return np.hstack([r.sum(0)[:, None], r.T @ x, r.T @ x**2]), likelihood
+
+
+def _maximised(total: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, standard deviations and weights from the sums; each component has ``PRIOR`` documents of variance 1/4."""
+    n = total[:, :1] + 1e-9
+    means = total[:, 1 : d + 1] / n
+    variance = (np.maximum(total[:, d + 1 :] - n * means**2, 0.0) + PRIOR * 0.25) / (n + PRIOR)
+    return means, np.sqrt(np.maximum(variance, LEAST_SD**2)), (n[:, 0] + 1e-6) / (n + 1e-6).sum()
+
+
+def _started(x: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A mixture of ``k`` components at points far from one another, drawn by their squared distance."""
+    rng = np.random.default_rng(seed)
+    chosen = [x[rng.integers(len(x))]]
+    far = ((x - chosen[0]) ** 2).sum(1)
+    for _ in range(k - 1):
+        chosen.append(x[rng.choice(len(x), p=far / far.sum())] if far.sum() > 0 else chosen[0])
+        far = np.minimum(far, ((x - chosen[-1]) ** 2).sum(1))
+    return np.array(chosen), np.full((k, x.shape[1]), 0.5), np.full(k, 1 / k)
+
+
+def start_mixture(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mixture of a sample with the smallest information criterion of Akaike among ``COMPONENTS`` and ``STARTS``."""
+    best, score = None, np.inf
+    for k in [c for c in COMPONENTS if c <= max(len(x) // 2, COMPONENTS[0])]:
+        for seed in range(STARTS):
+            model, before = _started(x, k, seed), -np.inf
+            for _ in range(MOST_PASSES):
+                total, likelihood = _sums(x, model)
+                model = _maximised(total, x.shape[1])
+                if likelihood / len(x) - before < GAIN:
+                    break
+                before = likelihood / len(x)
+            found = 2 * k * (2 * x.shape[1] + 1) - 2 * likelihood
+            if found < score:
+                best, score = model, found
+    return best
+
+
+def fit_mixture(points: DataFrame, extra: np.ndarray, model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expectation-maximisation over all of ``points.x`` and the rows of ``extra``, from ``model`` until it converges.
+
+    One pass over all points an iteration; only sums per component come back.
     """
-    k, d = starts.shape
-    means, sds, weights = starts.copy(), np.full((k, d), 2 * LEAST_SD), np.full(k, 1 / k)
-    for _ in range(ITERATIONS):
-        now = (means, sds, weights)
+    k, d = model[0].shape
+    before = -np.inf
+    for _ in range(MOST_PASSES):
 
-        def sums(batches: Iterator[pd.DataFrame], now: tuple = now) -> Iterator[pd.DataFrame]:
-            total = np.zeros((k, 1 + 2 * d))
+        def sums(batches: Iterator[pa.RecordBatch], now: tuple = model) -> Iterator[pa.RecordBatch]:
+            total, likelihood, n = np.zeros((k, 1 + 2 * d)), 0.0, 0
             for b in batches:
-                if len(b):
-                    x = np.stack(b["x"].to_numpy())
-                    r = _responsibilities(x, *now)
-                    total += np.hstack([r.sum(0)[:, None], r.T @ x, r.T @ x**2])
-            yield pd.DataFrame({"c": np.arange(k), "s": list(total)})
-
-        found = points.select("x").mapInPandas(sums, "c int, s array<double>").groupBy("c").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(1 + 2 * d)]).alias("s")).collect()
-        total = np.zeros((k, 1 + 2 * d))
-        for row in found:
-            total[row["c"]] = row["s"]
-        n = total[:, :1]
-        if n.sum() == 0:
-            break
-        # an example counts as one document, so a component that no document belongs to stays where it is
-        means = (total[:, 1 : d + 1] + starts) / (n + 1)
-        sds = np.sqrt(np.maximum((total[:, d + 1 :] + starts**2) / (n + 1) - means**2, LEAST_SD**2))
-        weights = (n[:, 0] + 1) / (n.sum() + k)
-    return means, sds, weights
+                if b.num_rows:
+                    found, more = _sums(_rows(b.column("x"), d), now)
+                    total, likelihood, n = total + found, likelihood + more, n + b.num_rows
+            values = np.concatenate([[likelihood, n], total.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], names=["i", "v"])
+
+        found = np.zeros(2 + k * (1 + 2 * d))
+        for r in points.select("x").mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            found[r["i"]] = r["v"]
+        total, own = _sums(extra, model)
+        total, own, count = total + found[2:].reshape(k, -1), own + found[0], len(extra) + found[1]
+        model = _maximised(total, d)
+        if own / count - before < GAIN:
+            return model
+        before = own / count
+    raise RuntimeError(f"the mixture has not converged after {MOST_PASSES} passes")
+
+
+def _rows(x: pa.Array, d: int) -> np.ndarray:
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def component_kinds(examples: np.ndarray, kinds: list[str], model: tuple) -> np.ndarray:
+    """Per component the share of ``KINDS`` among the ``NEAREST`` examples by its own measure, the nearer the heavier."""
+    means, sds, _ = model
+    own = np.array([[float(k == kind) for k in KINDS] for kind in kinds])
+    out = []
+    for mean, sd in zip(means, sds, strict=True):
+        far = (((examples - mean) / sd) ** 2).mean(1)
+        near = np.argsort(far, kind="stable")[:NEAREST]
+        votes = np.exp(far[near[0]] - far[near]) @ own[near]
+        out.append(votes / votes.sum())
+    return np.array(out)
 
 
 def classify(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The statistics of each document with text, the probabilities of ``KINDS`` and the likeliest ``kind``."""
-    spark = docs.sparkSession
-    stats = cut(features(text_statistics(docs, common, id_col, text)))
-    shown = features(text_statistics(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(EXAMPLES)], "doc_id bigint, text string"), common)).select("doc_id", "x").collect()
-    raw = np.array([r["x"] for r in sorted(shown, key=lambda r: r["doc_id"])])
-    spans = stats.agg(*[f(F.col("x")[i]) for i in range(len(FEATURES)) for f in (F.avg, F.stddev_pop)]).first()
-    centre, scale = np.array([s if s is not None else 0.0 for s in spans[::2]]), np.array([max(s or 0.0, 0.05) for s in spans[1::2]])
-    scaled = stats.withColumn("x", F.array(*[(F.col("x")[i] - float(centre[i])) / float(scale[i]) for i in range(len(FEATURES))]))
-    starts = (raw - centre) / scale
-    model = fit_mixture(scaled, starts)
-    votes = _responsibilities(starts, *model).T @ np.array([[float(k == kind) for k in KINDS] for kind, _ in EXAMPLES])
-    kind_of = votes / np.maximum(votes.sum(1, keepdims=True), 1e-12)
-
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The statistics of each document with text, the probabilities of ``KINDS`` and the likeliest ``kind``.
+
+    The examples count as documents in the fit, so it is defined for an empty table too.
+    """
+    listed = word_hashes([r["word"] for r in common.where("word is not null").select("word").distinct().collect()])
+    stats = cut(text_statistics(docs, common, id_col, text))
+    raw = _vectors(_statistics([t for _, t in EXAMPLES], listed))
+    d = raw.shape[1]
+    vector = F.array(*[F.log1p(F.col(c).cast("double")) for c in LENGTHS], *[F.sqrt(F.greatest(F.col(c), F.lit(0.0))) for c in SHARES])
+    points = stats.select("doc_id", "h", vector.alias("x"))
+    moments = points.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(f(F.col("x")[i])), F.lit(0.0)) for f in (lambda c: c, lambda c: c * c) for i in range(d)]).first()
+    n = moments[0] + len(raw)
+    centre = (np.array(moments[1 : d + 1]) + raw.sum(0)) / n
+    scale = np.maximum(np.sqrt(np.maximum((np.array(moments[d + 1 :]) + (raw**2).sum(0)) / n - centre**2, 0.0)), 0.05)
+    scaled = points.withColumn("x", F.array(*[(F.col("x")[i] - float(centre[i])) / float(scale[i]) for i in range(d)]))
+    shown = (raw - centre) / scale
+    sample = scaled.orderBy(F.xxhash64("h")).limit(START_DOCS).select("x").toArrow()
+    sample = np.vstack([shown, *[_rows(b.column("x"), d) for b in sample.to_batches()]])
+    model = fit_mixture(scaled, shown, start_mixture(sample))
+    kind_of = component_kinds(shown, [k for k, _ in EXAMPLES], model)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = _responsibilities(np.stack(b["x"].to_numpy()), *model) @ kind_of if len(b) else np.zeros((0, len(KINDS)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "p": list(p), "kind": [KINDS[i] for i in p.argmax(1)]})
+            p = _responsibilities(_rows(b.column("x"), d), *model)[0] @ kind_of if b.num_rows else np.zeros((0, len(KINDS)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *[pa.array(p[:, i]) for i in range(len(KINDS))], pa.array([KINDS[i] for i in p.argmax(1)], pa.string())], names=["doc_id", "h", *[f"p_{k}" for k in KINDS], "kind"])
 
-    id_type = dict(scaled.dtypes)["doc_id"]
-    labels = scaled.select("doc_id", "h", "x").mapInPandas(label, f"doc_id {id_type}, h bigint, p array<double>, kind string")
-    return stats.drop("x", *FEATURES).join(labels, ["doc_id", "h"]).select("doc_id", *[c for c in stats.columns if c not in ("doc_id", "h", "x", *FEATURES)], *[F.col("p")[i].alias(f"p_{k}") for i, k in enumerate(KINDS)], "kind")
+    schema = f"doc_id {dict(scaled.dtypes)['doc_id']}, h bigint, {', '.join(f'p_{k} double' for k in KINDS)}, kind string"
+    labels = scaled.mapInArrow(label, schema)
+    return stats.join(labels, ["doc_id", "h"]).drop("h")
 
 
 def not_prose(classified: DataFrame) -> DataFrame:
