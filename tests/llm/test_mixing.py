@@ -39,10 +39,11 @@ def test_shares_are_met_within_the_cap(spark):
 def test_unlabelled_documents_get_posteriors(spark):
     docs = documents(spark, 0.3)
     targets = spark.createDataFrame(TARGETS[:3], SCHEMA)
-    w = mx.train_classifier(docs.where("doc_id is not null"), ["a", "b", "c"])
+    w, good = mx.train_classifier(docs.where("doc_id is not null"), ["a", "b", "c"])
+    assert good["accuracy"] > 0.9 > good["largest"] and 0.3 < good["skill"] <= 1
     truth = documents(spark).where("doc_id < 900").select("doc_id", "source").toPandas().set_index("doc_id")["source"]
     sized = docs.where("doc_id < 900 and source is null").selectExpr("doc_id", "source", "1L as n_tokens", "text")
-    m = mx.memberships(sized, ["a", "b", "c"], w).toPandas()
+    m = mx.memberships(sized, ["a", "b", "c"], w, good["skill"]).toPandas()
     assert np.allclose([sum(x) for x in m["m"]], 1)
     held_out = np.mean([["a", "b", "c"][int(np.argmax(x))] == truth[i] for i, x in zip(m["doc_id"], m["m"], strict=True)])
     assert held_out > 0.9

@@ -1,56 +1,62 @@
 """Sources mixed to target shares of all tokens.
 
-Every document has a membership: how much it belongs to each source. Where its label is known that is the label;
-otherwise it is the posterior of a classifier, which is trained on a bounded sample of labelled documents. The
-classifier's posteriors of all documents are also blended in with ``SOFTNESS``, which is 0 by default, because the
-shares that count are those of the labels.
-
-Projected gradient descent then fits a nonnegative rate per document so that the expected tokens per source meet
-their targets. A pass over all documents returns one sum per source; the rates follow from the residuals of each
-pass. Rates become whole repeats by cutting each source once in hash order, so shares are met to a document.
+Soft memberships: a classifier, trained on a bounded sample of labelled documents, predicts for every document how
+likely each source is. What its posteriors are worth is measured on labelled documents held out from the training: the
+share of the uncertainty about the source that they take away (``skill``). A labelled document is a member of its own
+source, blended with its posterior by that weight; an unlabelled one has its posterior alone.
+
+Projected gradient descent then fits a nonnegative rate per document, so that the expected tokens per source meet their
+aims. A step moves the rate of a document along its memberships and projects it between 0 and the cap of its source; a
+pass over all documents replays the steps so far, so no rate is stored, and returns sums per source. The tokens of a
+labelled document count for its label, so the labels' shares come out and not blended ones. Rates become whole repeats by order sampling, which meets the tokens of each source to a document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.packing import TOKENIZER, count_tokens
 from weft.session import cut, spread
 
-#: Labelled documents that train the classifier at most, in hash order, and hashed word features.
-TRAINING_DOCS, HASHED = 20000, 4096
-#: Passes over the training sample, learning rate and weight decay of the classifier.
-EPOCHS, RATE, DECAY = 30, 0.5, 1e-4
-#: Weight of the posterior where the label is known.
-SOFTNESS = 0.0
-#: Iterations of projected gradient descent at most, and the residual share at which it stops.
-STEPS, CLOSE = 60, 1e-6
-#: A document is large if it exceeds this part of the tokens that its group still has to give out.
-LARGE = 1000
-#: Buckets of the hash order in which repeats are rounded.
+#: Labelled documents that the classifier is fitted to and measured on, at most, in hash order; one in ``HELD_OUT`` measures.
+TRAINING_DOCS, HELD_OUT = 20000, 5
+#: Hashed features of words, and of lengths besides.
+HASHED, SIZES = 4096, 32
+#: Passes over the training sample, learning rate, weight decay, and documents of a step of the classifier.
+EPOCHS, RATE, DECAY, BATCH = 8, 0.3, 1e-4, 256
+#: The fit of rates ends when every source is this close to its aim, as a part of the mix; more steps than these end it too,
+#: and the report states what is left.
+CLOSE, MOST_STEPS = 1e-6, 200
+#: Levels of documents by which part of the tokens that their group gives out they may be: above the first, the second, ...
+LEVELS = (20, 1000)
+#: Buckets of the order in which repeats are rounded.
 BUCKETS = 4096
 
 
 def _features(text: Column) -> Column:
-    """Hashed words of a text with repeats, as an array of feature numbers."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(HASHED)).cast("int"))
+    """The distinct hashed words of a text and its length (in steps of a quarter power of two) as feature numbers."""
+    plain = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(F.lower(plain), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    size = F.least(F.floor(F.log2(F.length(plain) + F.lit(1)) * 2), F.lit(SIZES - 1)).cast("int") + HASHED
+    return F.concat(F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(HASHED)).cast("int"))), F.array(size, F.lit(HASHED + SIZES)))
 
 
-def _matrix(ids: pd.Series) -> np.ndarray:
-    x = np.zeros((len(ids), HASHED + 1), np.float32)
-    for i, row in enumerate(ids):
-        if row is not None and len(row):
-            np.add.at(x[i], np.asarray(row), 1)
-            x[i] = np.log1p(x[i])
-            x[i] /= np.linalg.norm(x[i])
-        x[i, -1] = 1
-    return x
+def _scores(flat: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Posteriors (documents by sources) of documents given by their features one after the other; none has no feature.
+
+    A last row of ``weights`` beyond the features is added to every document's scores."""
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    z = np.add.reduceat(weights[flat], first) / np.sqrt(lengths)[:, None]
+    if len(weights) > HASHED + SIZES + 1:
+        z = z + weights[-1]
+    return _softmax(z)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -58,147 +64,240 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train_classifier(docs: DataFrame, sources: list[str]) -> np.ndarray:
-    """Weights (features by sources) of a softmax regression of ``source`` on ``text``.
+def train_classifier(docs: DataFrame, sources: list[str]) -> tuple[np.ndarray, dict]:
+    """Weights (features by sources) of a softmax regression of ``source`` on ``text``, and how good it is.
 
-    It is fitted to at most ``TRAINING_DOCS`` labelled documents, those that come first in hash order.
+    It is fitted to at most ``TRAINING_DOCS`` labelled documents, those that come first in hash order, without every
+    fifth of them. On these its scores are tempered: mixed with the logarithms of the sources' shares as far as the log
+    loss is least (``temper``, 0 to 1). ``accuracy``, ``largest`` (the share of the largest source) and ``skill`` are measured
+    there too; ``skill`` is the part by which the log loss is below that of the shares.
     """
     sample = docs.where(F.col("source").isin(sources)).select(_features(F.col("text")).alias("f"), "source", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(TRAINING_DOCS).toPandas()
-    w = np.zeros((HASHED + 1, len(sources)), np.float32)
+    w = np.zeros((HASHED + SIZES + 1, len(sources)))
     y = sample["source"].map({s: i for i, s in enumerate(sources)}).to_numpy()
-    for epoch in range(EPOCHS if len(sample) else 0):
-        for at in range(0, len(sample), 512):
-            x = _matrix(sample["f"][at : at + 512])
-            p = _softmax(x @ w)
-            p[np.arange(len(x)), y[at : at + 512]] -= 1
-            w -= RATE / (1 + 0.1 * epoch) * (x.T @ p / len(x) * 8 + DECAY * w)
-    return w
-
-
-def memberships(docs: DataFrame, sources: list[str], weights: np.ndarray) -> DataFrame:
-    """``doc_id, source, n_tokens, m``: the membership of each document in each of ``sources``, summing to 1.
-
-    A known source that is none of ``sources`` has the membership 0 in all.
+    rows = [np.asarray(f) for f in sample["f"]]
+    fit, held = [i for i in range(len(rows)) if i % HELD_OUT], [i for i in range(len(rows)) if i % HELD_OUT == 0]
+    facts = {"accuracy": 0.0, "largest": 0.0, "skill": 0.0, "temper": 0.0}
+    if not fit:
+        return np.vstack([w, np.zeros((1, len(sources)))]), facts
+    prior = (np.bincount(y[fit], minlength=len(sources)) + 0.5) / (len(fit) + 0.5 * len(sources))
+    packed = lambda part: (np.concatenate([rows[i] for i in part]), np.array([len(rows[i]) for i in part]))
+    for epoch in range(EPOCHS):
+        for at in range(0, len(fit), BATCH):
+            part = fit[at : at + BATCH]
+            flat, lengths = packed(part)
+            p = _scores(flat, lengths, w)
+            p[np.arange(len(part)), y[part]] -= 1
+            spread_ = np.repeat(p / np.sqrt(lengths)[:, None], lengths, axis=0)
+            step = np.stack([np.bincount(flat, spread_[:, k], len(w)) for k in range(len(sources))], axis=1)
+            w -= RATE / (1 + epoch) * (step / 16 + DECAY * w)
+    truth, raw = y[held], np.log(np.maximum(_scores(*packed(held), w), 1e-12))
+    loss = lambda z: -np.log(np.maximum(_softmax(z)[np.arange(len(held)), truth], 1e-12)).mean()
+    mixed = lambda t: t * raw + (1 - t) * np.log(prior)
+    temper = float(min(np.linspace(0, 1, 41), key=lambda t: loss(mixed(t))))
+    plain = loss(mixed(0.0))
+    # in the weights: all scores by the temper, and the shares on the feature that every document has
+    w, bias = w * temper, (1 - temper) * np.log(prior)
+    good = {"accuracy": float((mixed(temper).argmax(1) == truth).mean()), "largest": float(prior.max()), "skill": float(max(0.0, 1 - loss(mixed(temper)) / plain)) if plain > 0 else 0.0, "temper": temper}
+    return np.vstack([w, bias]), good
+
+
+def memberships(docs: DataFrame, sources: list[str], weights: np.ndarray, skill: float) -> DataFrame:
+    """``doc_id, source, n_tokens, label, m``: the membership of each document in each of ``sources``, summing to 1.
+
+    The classifier sees every document. ``label`` is the number of the source, -1 where it is unknown. A known source
+    that is none of ``sources`` is left out.
     """
     index = {s: i for i, s in enumerate(sources)}
 
-    def blend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = np.zeros((len(b), len(sources)))
-            known = b["source"].notna().to_numpy()
-            soft = ~known | (SOFTNESS > 0)
-            if soft.any():
-                m[soft] = _softmax(_matrix(b["f"][soft]) @ weights)
-            for i in np.flatnonzero(known):
-                hard = np.zeros(len(sources))
-                if b["source"].iat[i] in index:
-                    hard[index[b["source"].iat[i]]] = 1
-                m[i] = SOFTNESS * m[i] + (1 - SOFTNESS) * hard
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": b["n_tokens"], "m": list(m)})
-
-    f = F.when(F.col("source").isNull() | (F.lit(SOFTNESS) > 0), _features(F.col("text")))
+            label = np.array([index.get(x, -1) for x in b.column("source").to_pylist()], np.int32)
+            lengths = np.diff(b.column("f").offsets.to_numpy())
+            m = _scores(b.column("f").flatten().to_numpy(), lengths, weights) if b.num_rows else np.zeros((0, len(sources)))
+            known = np.flatnonzero(label >= 0)
+            m[known] *= skill
+            m[known, label[known]] += 1 - skill
+            own = pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), len(sources)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("n_tokens"), pa.array(label), own], names=["doc_id", "source", "n_tokens", "label", "m"])
+
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "source", "n_tokens", f.alias("f")).mapInPandas(blend, f"doc_id {kind}, source string, n_tokens bigint, m array<double>")
+    wanted = docs.where(F.col("source").isNull() | F.col("source").isin(sources)).where("n_tokens > 0")
+    return wanted.select("doc_id", "source", "n_tokens", _features(F.col("text")).alias("f")).mapInArrow(blend, f"doc_id {kind}, source string, n_tokens bigint, label int, m array<double>")
+
 
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = b.column("m").flatten().to_numpy().reshape(b.num_rows, -1)
+    return b.column("n_tokens").to_numpy().astype(float), b.column("label").to_numpy(), m
 
-def _rate(step: Column, cap: Column) -> Column:
-    return F.least(F.greatest(step, F.lit(0.0)), cap)
 
+def _replayed(label: np.ndarray, m: np.ndarray, start: np.ndarray, steps: list[np.ndarray], caps: np.ndarray) -> np.ndarray:
+    """The rate of each document after ``steps``: each is a move along the memberships, projected to what is allowed."""
+    most = np.where(label >= 0, caps[label], m @ caps)
+    rate = np.minimum(m @ start, most)
+    for step in steps:
+        rate = np.clip(rate + m @ step, 0.0, most)
+    return rate
 
-def fit_rates(members: DataFrame, targets: np.ndarray, caps: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """The price of each source, the tokens reached and the size of one mix.
 
-    ``targets`` are shares, ``caps`` the most repeats per source. The rate of a document is its membership times the
-    prices, projected to 0 and the cap of its memberships. The size is the largest that the caps allow. Prices follow
-    the projected gradient of the squared residuals, each scaled by the tokens of its source.
+def fit_rates(members: DataFrame, targets: np.ndarray, caps: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], dict]:
+    """Where the rates start, the steps that they take, and the facts of the fit.
+
+    ``targets`` are shares, ``caps`` the most repeats per source. The expected tokens of a source are those of its labelled
+    documents and, of the unlabelled ones, what they are members of it with; their squared distance from the aims is what
+    falls. A source without labelled tokens is left out. The size of the mix is the largest that the caps allow to
+    labelled documents; should it not be reached, it shrinks. Facts: ``size``, ``caps`` and ``residual``, the largest distance
+    of a source from its aim as a part of the mix.
     """
     s = len(targets)
-    groups = members.where("n_tokens > 0").groupBy("m").agg(F.sum("n_tokens").alias("n"))
-    rate = lambda prices: _rate(sum((F.col("m")[i] * float(prices[i]) for i in range(s)), F.lit(0.0)), sum((F.col("m")[i] * float(caps[i]) for i in range(s)), F.lit(0.0)))
-    supply = np.array([groups.agg(*[F.coalesce(F.sum(F.col("m")[i] * F.col("n")), F.lit(0.0)) for i in range(s)]).first()], float)[0]
-    usable = (targets > 0) & (supply > 0)
+
+    def totals(start: np.ndarray, steps: list[np.ndarray], caps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each source by labels, and by memberships of the unlabelled."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((2, s))
+            for b in batches:
+                if b.num_rows:
+                    n, label, m = _arrays(b)
+                    known, used = label >= 0, n * _replayed(label, m, start, steps, caps)
+                    out[0] += np.bincount(label[known], used[known], s)
+                    out[1] += used[~known] @ m[~known]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size), pa.int32()), pa.array(out.ravel())], names=["i", "v"])
+
+        out = np.zeros(2 * s)
+        for r in members.select("n_tokens", "label", "m").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            out[r["i"]] = r["v"]
+        return out[:s], out[s:]
+
+    labelled, soft = totals(np.ones(s), [], np.full(s, 1e9))  # the supply is what there is at a rate of one
+    usable = (targets > 0) & (labelled > 0) & (caps > 0)
     if not usable.any():
-        return np.zeros(s), np.zeros(s), 0.0
-    size = float(np.min(caps[usable] * supply[usable] / targets[usable]))
-    aim = np.where(usable, targets * size, 0.0)
-    prices, reached = np.where(usable, 1.0, 0.0), np.zeros(s)
-    for _ in range(STEPS):
-        r = rate(prices)
-        reached = np.array([groups.agg(*[F.coalesce(F.sum(F.col("m")[i] * F.col("n") * r), F.lit(0.0)) for i in range(s)]).first()], float)[0]
-        residual = np.where(usable, (aim - reached) / np.maximum(supply, 1.0), 0.0)
-        if np.abs(aim - reached)[usable].max() <= CLOSE * size:
-            break
-        prices = np.clip(prices + residual, 0.0, caps)
-    return prices, reached, size
-
-
-def choose(members: DataFrame, mix: str, prices: np.ndarray, caps: np.ndarray) -> DataFrame:
-    """``mix_name, doc_id, source, n_tokens, repeats`` of the documents that a mix uses.
-
-    The whole part of a rate is repeated by every document. Of each group of equal rate and label, those first in
-    hash order get one more, until the fraction's share of the group's tokens is given out. Documents that are large
-    for that share come first, and the small ones make up for what these are over or under.
+        return np.zeros(s), [], {"size": 0.0, "residual": 0.0}
+    supply, caps = labelled + soft, np.where(usable, caps, 0.0)
+    share = np.where(usable, targets, 0.0) / targets[usable].sum()
+    size = float(np.min(caps[usable] * labelled[usable] / share[usable]))
+    start, steps, before, stuck = np.where(usable, share * size / np.maximum(labelled, 1e-12), 0.0), [], np.inf, 0
+    while True:
+        known, soft = totals(start, steps, caps)
+        left = share * size - known - soft
+        residual = float(np.abs(left[usable]).max() / size)
+        if residual <= CLOSE or len(steps) == MOST_STEPS:
+            return start, steps, {"size": size, "residual": residual, "caps": caps}
+        stuck = stuck + 1 if residual > 0.9 * before else 0
+        if stuck == 3:  # a source has no more to give
+            size, stuck = size * float(np.clip(((known + soft) / np.maximum(share * size, 1e-12))[usable].min(), 0.5, 0.98)), 0
+            left = share * size - known - soft
+        before = residual
+        steps.append(np.where(usable, left / np.maximum(supply, 1e-12), 0.0))
+
+
+def choose(members: DataFrame, fits: list[tuple[str, np.ndarray, list[np.ndarray], np.ndarray]]) -> DataFrame:
+    """``mix_name, doc_id, source, n_tokens, m, repeats`` of the documents that the mixes (name, start, steps, caps) use.
+
+    The whole part of a rate is repeated by every document. Of each group of one source and whole part, documents get one
+    more in an order that favours larger fractions (Pareto sampling), until the fractions' tokens are given out. That is
+    done level by level, large documents first, and the smaller ones make up for what these are over or under.
     """
-    s = len(prices)
-    rate = _rate(sum((F.col("m")[i] * float(prices[i]) for i in range(s)), F.lit(0.0)), sum((F.col("m")[i] * float(caps[i]) for i in range(s)), F.lit(0.0)))
-    rated = members.where("n_tokens > 0").select("doc_id", "source", "n_tokens", F.round(rate, 9).alias("rate"), F.xxhash64("doc_id").alias("h"))
-    rated = rated.withColumn("g", F.round(F.col("rate"), 3))
-    goal = rated.groupBy("source", "g").agg(F.sum((F.col("rate") - F.floor("rate")) * F.col("n_tokens")).alias("wanted"), F.sum("n_tokens").alias("all_tokens"))
-    sized = rated.join(_renamed(goal), _same("source", "g")).drop("__source", "__g").withColumn("large", F.col("n_tokens") * LARGE > F.col("wanted"))
-    large = cut(_first_in_hash_order(sized.where("large"), F.col("wanted") / F.col("all_tokens")))
-    got = large.groupBy("source", "g").agg(F.sum(F.col("extra") * F.col("n_tokens")).alias("got"))
-    small = sized.where("not large").join(_renamed(got), _same("source", "g"), "left").drop("__source", "__g")
-    rest = small.groupBy("source", "g").agg(F.sum("n_tokens").alias("small_tokens"))
-    small = small.join(_renamed(rest), _same("source", "g")).drop("__source", "__g")
-    small = _first_in_hash_order(small, (F.col("wanted") - F.coalesce("got", F.lit(0))) / F.col("small_tokens"))
-    both = large.select("doc_id", "source", "n_tokens", "rate", "extra").unionByName(small.select("doc_id", "source", "n_tokens", "rate", "extra"))
-    return both.select(F.lit(mix).alias("mix_name"), "doc_id", "source", "n_tokens", (F.floor("rate") + F.col("extra")).cast("int").alias("repeats")).where("repeats > 0")
-
-
-def _renamed(df: DataFrame) -> DataFrame:
-    return df.withColumnRenamed("source", "__source").withColumnRenamed("g", "__g")
-
-
-def _same(source: str, g: str) -> Column:
-    return F.col(source).eqNullSafe(F.col("__source")) & (F.col(g) == F.col("__g"))
 
-
-def _first_in_hash_order(docs: DataFrame, share: Column) -> DataFrame:
-    """``docs`` with ``extra``: 1 for the first of each ``source, g`` in hash order that make up ``share`` of its tokens.
+    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                _, label, m = _arrays(b)
+                for mix, start, steps, caps in fits:
+                    rate = np.round(_replayed(label, m, start, steps, caps), 9)
+                    some = np.flatnonzero(rate > 0)
+                    columns = [c.take(pa.array(some)) for c in b.columns]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(rate[some]), pa.array([mix] * len(some), pa.string())], names=[*b.schema.names, "rate", "mix_name"])
+
+    kind = dict(members.dtypes)["doc_id"]
+    rated = members.mapInArrow(rates, f"doc_id {kind}, source string, n_tokens bigint, label int, m array<double>, rate double, mix_name string").drop("label")
+    rated = rated.withColumns({"u": (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) + 0.5) / float(1 << 40), "g": F.floor("rate"), "f": F.col("rate") - F.floor("rate")})
+    rated = rated.withColumn("k", F.concat_ws("\x01", "mix_name", F.coalesce("source", F.lit("\x02")), F.col("g").cast("string")))
+    wanted = F.sum(F.col("f") * F.col("n_tokens"))
+    # what is broadcast has as many rows as mixes times sources times whole parts up to the caps (times levels), by the table of targets
+    goal = rated.groupBy("k").agg(wanted.alias("all_wanted"), F.avg("f").alias("mean_f"))
+    sized = rated.join(F.broadcast(goal), "k")
+    sized = sized.withColumn("level", sum((F.when(F.col("n_tokens") * part <= F.col("all_wanted"), 1).otherwise(0) for part in LEVELS), F.lit(0)))
+    odds = lambda x: (F.lit(1.0) - x) / F.greatest(x, F.lit(1e-12))
+    q = F.col("u") / (1 - F.col("u")) * odds(F.col("f")) / F.greatest(odds(F.col("mean_f")), F.lit(1e-12))
+    sized = cut(sized.withColumn("t", F.when(F.col("f") > 0, q / (1 + q)).otherwise(1.0)).drop("u", "mean_f", "rate", "all_wanted"))
+    aims = sized.groupBy("k", "level").agg(wanted.alias("wanted"))
+    done, over = [], None
+    for level in range(len(LEVELS) + 1):
+        here = aims.where(F.col("level") == level).select("k", "wanted")
+        # what larger documents are over or under; a group without documents of this level passes it on
+        if over is not None:
+            here = here.unionByName(over).groupBy("k").agg(F.sum("wanted").alias("wanted"))
+        one = _first_in_order(sized.where(F.col("level") == level).drop("level").join(F.broadcast(here), "k"))
+        if level < len(LEVELS):
+            one = cut(one)
+            used = one.groupBy("k").agg(F.sum(-F.col("extra") * F.col("n_tokens")).alias("wanted"))
+            over = here.unionByName(used).groupBy("k").agg(F.sum("wanted").alias("wanted"))
+        done.append(one)
+    both = reduce(DataFrame.unionByName, done)
+    return both.select("mix_name", "doc_id", "source", "n_tokens", "m", (F.col("g") + F.col("extra")).cast("int").alias("repeats")).where("repeats > 0")
+
+
+def _first_in_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``extra``: 1 for the first of each group ``k`` in the order of ``t`` that make up ``wanted`` tokens.
 
     The order is cut into buckets whose sums are added up first, so no window holds more than a bucket.
     """
-    docs = docs.withColumns({"b": F.pmod("h", F.lit(BUCKETS)), "share": share})
-    per_bucket = docs.groupBy("source", "g", "b").agg(F.sum("n_tokens").alias("in_bucket"))
-    order, whole = Window.partitionBy("source", "g").orderBy("b"), Window.partitionBy("source", "g")
-    offsets = per_bucket.select("source", "g", F.col("b").alias("__b"), (F.sum("in_bucket").over(order) - F.col("in_bucket")).alias("before"), F.sum("in_bucket").over(whole).alias("in_all"))
-    inside = Window.partitionBy("source", "g", "b").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = docs.join(_renamed(offsets), _same("source", "g") & (F.col("b") == F.col("__b"))).drop("__source", "__g", "__b")
-    # the document at the boundary is taken if more than half of it is wanted
+    docs = docs.withColumn("b", F.least(F.floor(F.col("t") * BUCKETS), F.lit(BUCKETS - 1)))
+    per_bucket = docs.groupBy("k", "b").agg(F.sum("n_tokens").alias("in_bucket"))
+    offsets = per_bucket.select("k", "b", (F.sum("in_bucket").over(Window.partitionBy("k").orderBy("b")) - F.col("in_bucket")).alias("before"))
+    placed = docs.join(offsets, ["k", "b"])
+    # a document without a fraction gets none; the one at the boundary is taken if more than half of it is wanted
+    asked = (F.col("f") > 0) & (F.col("before") <= F.col("wanted"))
+    inside = Window.partitionBy("k", "b").orderBy("t", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("before") + F.sum("n_tokens").over(inside)
-    return placed.withColumn("extra", F.when(upto - F.col("n_tokens") / 2 <= F.col("share") * F.col("in_all"), 1).otherwise(0)).drop("before", "in_all", "b", "share")
-
+    taken = placed.where(asked).withColumn("extra", F.when(upto - F.col("n_tokens") / 2 <= F.col("wanted"), 1).otherwise(0))
+    return taken.unionByName(placed.where(~asked).withColumn("extra", F.lit(0))).drop("before", "b", "t", "wanted", "f")
 
-def mix_all(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """The choice of every mix of ``targets`` (``mix_name, source, target_share, max_repeats``, a small table).
 
-    ``docs`` has ``doc_id, text, source``. Texts without an id or tokens are never chosen; repeated rows count each. A source without documents is left
-    out, and the shares of the others keep their proportions.
-    """
+def _fitted(docs: DataFrame, targets: DataFrame, tokenizer: str) -> tuple[DataFrame, list[tuple]]:
+    """The choice of every mix with memberships, and ``mix_name, source, i, residual, skill, accuracy, largest`` of each fit."""
     docs = docs.where("doc_id is not null").select("doc_id", "text", "source")
     wanted = targets.where("mix_name is not null and source is not null").select("mix_name", "source", "target_share", "max_repeats").toPandas()
     sources = sorted(wanted["source"].unique())
-    sized = count_tokens(spread(docs.select("doc_id", "text", "source")), "text", "n_tokens", tokenizer)
-    unlabelled = SOFTNESS > 0 or not docs.where("source is null").isEmpty()
-    weights = train_classifier(docs, sources) if unlabelled else np.zeros((HASHED + 1, len(sources)), np.float32)
-    members = cut(memberships(sized, sources, weights))
-    out = docs.sparkSession.createDataFrame([], f"mix_name string, doc_id {dict(docs.dtypes)['doc_id']}, source string, n_tokens bigint, repeats int")
+    out = docs.sparkSession.createDataFrame([], f"mix_name string, doc_id {dict(docs.dtypes)['doc_id']}, source string, n_tokens bigint, m array<double>, repeats int")
+    facts: list[tuple] = []
+    fits: list[tuple] = []
+    if not sources:
+        return out, facts
+    sized = count_tokens(spread(docs), "text", "n_tokens", tokenizer)
+    weights, good = train_classifier(docs, sources)
+    members = cut(memberships(sized, sources, weights, good["skill"]))
     for mix, part in sorted(wanted.groupby("mix_name")):
         by = part.groupby("source").agg({"target_share": "sum", "max_repeats": "max"}).reindex(sources).fillna(0)
-        caps = by["max_repeats"].to_numpy(float)
-        prices, _, _ = fit_rates(members, by["target_share"].to_numpy(float), caps)
-        out = out.unionByName(choose(members, mix, prices, caps))
-    return out
+        start, steps, fit = fit_rates(members, by["target_share"].to_numpy(float), by["max_repeats"].to_numpy(float))
+        if fit["size"]:
+            fits.append((mix, start, steps, fit["caps"]))
+        facts += [(mix, x, i, fit["residual"], good["skill"], good["accuracy"], good["largest"]) for i, x in enumerate(sources)]
+    return (choose(members, fits) if fits else out), facts
+
+
+def mix_all(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The choice of every mix of ``targets`` (``mix_name, source, target_share, max_repeats``, a small table).
+
+    ``docs`` has ``doc_id, text, source``. Texts without an id or tokens are never chosen, nor those of a source that is no
+    target; repeated rows count each. A source without documents is left out, and the shares of the others keep their
+    proportions.
+    """
+    return _fitted(docs, targets, tokenizer)[0].drop("m")
+
+
+def mix_report(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``share_report`` with ``expected_share``, by the memberships of what was chosen, and the facts of the fit: its
+    ``residual``, and the ``skill`` and ``accuracy`` of the classifier on held-out documents beside the share of the largest
+    source."""
+    chosen, facts = _fitted(docs, targets, tokenizer)
+    chosen = cut(chosen)
+    known = docs.sparkSession.createDataFrame(facts, "mix_name string, source string, i int, residual double, skill double, accuracy double, largest double")
+    soft = chosen.select("mix_name", F.posexplode("m").alias("i", "p"), (F.col("n_tokens") * F.col("repeats")).alias("used")).groupBy("mix_name", "i").agg(F.sum(F.col("p") * F.col("used")).alias("e"))
+    share = F.round(F.col("e") / F.sum("e").over(Window.partitionBy("mix_name")), 6)
+    soft = soft.join(F.broadcast(known), ["mix_name", "i"]).select("mix_name", "source", share.alias("expected_share"), *[F.round(c, 6).alias(c) for c in ("residual", "skill", "accuracy", "largest")])
+    return share_report(chosen, targets).join(soft, ["mix_name", "source"], "left")
 
 
 def share_report(chosen: DataFrame, targets: DataFrame) -> DataFrame:

@@ -75,8 +75,8 @@ def p8_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares that each mix reaches."""
-    return mixing.share_report(p8_choice(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    """The shares that each mix reaches, by labels and by memberships, and the facts of the fit."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
