@@ -44,3 +44,10 @@ def test_edit_join_misses_no_pair(spark):
     right = spark.createDataFrame([(y, 0, y) for y in b], "ref string, g int, t string")
     got = {(r["value"], r["ref"]) for r in cm.edit_join(left, right, ["g"], "t", 2).collect()}
     assert got == {(x, y) for x in a for y in b if (_edits(x, y) <= 2 if len(y) > 2 else x == y)}
+
+
+def test_values_of_any_length(spark):
+    long = "x" * 3000 + "7"
+    rows = spark.createDataFrame([("f", 1, long), ("f", 2, "(" * 40 + long.replace("xx7", "yx7") + ")" * 40), ("f", 3, " " * 50000 + long + "?"), ("f", 4, "z" * 100000), ("f", 5, "((" * 30000)], "field string, row_id bigint, value string")
+    types = spark.createDataFrame([(5, long.upper(), None, None)], "type_id bigint, type string, full_name string, former_names string")
+    assert {r["row_id"]: r["type_id"] for r in cm.map_rows(rows, types).collect()} == {1: 5, 2: 5, 3: 5, 4: -1, 5: -1}

@@ -56,3 +56,16 @@ def test_token_counts_match_the_library(spark):
     enc = pk._encoding(pk.TOKENIZER)
     got = pk.count_tokens(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
     assert [r["n_tokens"] for r in got] == [len(enc.encode_ordinary(t)) for t in texts]
+
+
+def test_long_runs_are_counted_as_the_library_counts_them(monkeypatch):
+    import re
+
+    enc, rnd = pk._encoding(pk.TOKENIZER), random.Random(2)
+    texts = ["".join(rnd.choice(["a", "Bc", "7", ".", " " * rnd.randint(1, 9), "\n" * rnd.randint(1, 7), " \t\n" * rnd.randint(1, 3)]) for _ in range(40)) for _ in range(200)]
+    want = [len(enc.encode_ordinary(t)) for t in texts]
+    monkeypatch.setattr(pk, "LONG_RUN", re.compile(r"[^\S\x1c-\x1f]{3,}"))
+    assert [pk.token_count(enc, t) for t in texts] == want
+    monkeypatch.undo()
+    assert pk.token_count(enc, "x" + " " * 2000001 + "b") == 2000002
+    assert pk.token_count(enc, "a" * 50000) == len(enc.encode_ordinary("a" * 50000))

@@ -20,8 +20,6 @@ from weft.operators.skew import hot_keys, salted_join
 
 #: Edits that a misspelt value may be away from its reference text; two neighbours swapped are two edits.
 MAX_EDITS = 2
-#: A value that is longer than this after its surrounding blanks denotes nothing.
-LONGEST_VALUE = 400
 #: Cyrillic and Greek letters that look like Latin ones, and those.
 LOOKALIKE = "аеорсухкмтнвіјѕԁԛոαοριντυκχ"
 LOOKS_LIKE = "aeopcyxkmthbijsdqnaopivtukx"
@@ -58,17 +56,16 @@ def parsed(values: DataFrame, value: str) -> DataFrame:
 
     Marks of side and doubt, quotes and trailing remarks in parentheses are taken off. ``num`` is the only number
     of the value without leading zeros, ``sub`` the single letter after it (or ''), ``letters`` all other letters.
-    All are null if the value is untyped, longer than ``LONGEST_VALUE`` or has not exactly one number.
+    All are null if the value is untyped or has not exactly one number.
     """
-    short = F.when(F.length(strip(F.col(value))) <= LONGEST_VALUE, strip(F.col(value)))
-    t = F.regexp_replace(folded(short), "[\"'`´“”„‘’«»*~?!#=<>]+", " ")
+    t = F.regexp_replace(folded(strip(F.col(value))), "[\"'`´“”„‘’«»*~?!#=<>]+", " ")
     t = strip(F.regexp_replace(t, r"(?<=[^\s(\[])[\s_]*[(\[][^()\[\]0-9]*[)\]][\s.]*$", " "))
     t = strip(F.regexp_replace(t, rf"(?:^|(?<=[^\p{{L}}\p{{N}}]))(?:{'|'.join(DOUBT)})(?:$|(?=[^\p{{L}}\p{{N}}]))\.?", " "))
     t = F.regexp_replace(t, NEURON, "neuron")
     for word in DIRECTIONS:  # shortened to three letters or more before a full stop
         t = F.regexp_replace(t, rf"(?:^|(?<=[^\p{{L}}])){word[:3]}(?:{'(?:'.join(word[3:-1])}{')?' * (len(word) - 4)}\.", f"{word} ")
-    t = F.regexp_replace(t, r"^[\s(\[.,;:_-]+|[\s)\].,;:_-]+$", "")
-    t = strip(F.regexp_replace(t, rf"[\s_.,;:(\[-]+(?:{'|'.join(SIDES)})$", ""))
+    t = F.regexp_replace(t, r"^[\s(\[.,;:_-]++|(?<![\s)\].,;:_-])[\s)\].,;:_-]++$", "")
+    t = strip(F.regexp_replace(t, rf"(?<![\s_.,;:(\[-])[\s_.,;:(\[-]++(?:{'|'.join(SIDES)})$", ""))
     t = strip(F.regexp_replace(t, r"(?<=[^\s(\[])[\s_]*[(\[][^()\[\]0-9]*[)\]][\s.]*$", " "))
     # explode and inline of one element keep the optimiser from repeating the long expressions in every filter
     out = values.select("*", F.explode(F.array(F.when(~is_untyped(F.col(value)), t))).alias("__t"))

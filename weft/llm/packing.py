@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import importlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,10 +23,11 @@ from weft.session import cut, spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary cuts text before merging: fixed value, the published pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space from this length on go past the pattern, whose look-ahead runs out of stack in them. The pieces are
+#: those of the pattern: all but the last character of a run that something follows.
+LONG_RUN = re.compile(r"[^\S\x1c-\x1f]{100000,}")
 #: Buckets in which texts of one length are ranked.
 BUCKETS = 64
-#: A run of black or of white space longer than this is counted in pieces of this length; merging is costly in it.
-LONGEST_RUN = 20000
 
 _LOADED: dict = {}
 
@@ -39,26 +41,27 @@ def _encoding(path: str):
     return _LOADED[path]
 
 
+def token_count(enc, text: str) -> int:
+    """The number of tokens of a whole text."""
+    n, at = 0, 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        n += len(enc.encode_ordinary(text[at : run.start()])) + len(enc._encode_single_piece(text[run.start() : end]))
+        at = end
+    return n + len(enc.encode_ordinary(text[at:]))
+
+
 def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", tokenizer: str = TOKENIZER) -> DataFrame:
     """``docs`` with the number of tokens of the whole ``text``, 0 for null and blank texts.
 
-    The strings of special tokens are ordinary text. Runs of more than ``LONGEST_RUN`` characters of black or of white
-    space are counted in pieces.
+    The strings of special tokens are ordinary text.
     """
-    import re
-
-    run = re.compile(rf"(?:\S{{{LONGEST_RUN}}}|\s{{{LONGEST_RUN}}})(?=.)", re.DOTALL)
 
     @F.pandas_udf("bigint")
     def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = _encoding(tokenizer)
-
-        def size(t: str) -> int:
-            parts = run.sub(lambda m: m.group() + "\x00", t).split("\x00") if len(t) > LONGEST_RUN and run.search(t) else [t]
-            return sum(len(enc.encode_ordinary(p)) for p in parts)
-
         for s in texts:
-            yield s.map(lambda t: 0 if t is None or not t.strip() else size(t)).astype("int64")
+            yield s.map(lambda t: 0 if t is None or not t.strip() else token_count(enc, t)).astype("int64")
 
     return docs.withColumn(out, F.coalesce(tokens(F.col(text)), F.lit(0).cast("bigint")))
 
