@@ -12,10 +12,6 @@ SHORT_ID_DIGITS = 9
 SHORT_ID_PREFIX = "720575940"
 #: White space that is cut from the ends of labels and ids.
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: How many wrappers (side suffixes and enclosing parentheses) are looked through.
-WRAPPER_DEPTH = 6
-#: A longer text is no label for "no type", whatever it holds.
-LONGEST_LABEL = 1000
 
 
 def strip(c: Column) -> Column:
@@ -23,16 +19,25 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+_BLANK = "".join(f"\\x{{{ord(c):x}}}" for c in BLANKS)
+
+
 def bare_label(c: Column) -> Column:
-    """``c`` without surrounding blanks, ``_L/_R/_U`` suffixes and enclosing parentheses.
+    """``c`` without surrounding blanks, ``_L/_R/_U`` suffixes and enclosing parentheses, until none is left.
 
-    The wrappers are taken off from the outside until none is left, at most ``WRAPPER_DEPTH`` of them.
-    A null stays null.
+    Suffixes and closing parentheses are taken off from the right as long as an opening one at the left is left for each
+    closing one. A null stays null.
     """
-    inner = strip(c)
-    for _ in range(WRAPPER_DEPTH):
-        inner = strip(F.regexp_replace(inner, r"(?s)^(?:(.*)_[LRU]|\((.*)\))$", "$1$2"))
-    return F.when(strip(c).rlike(r"(?s)(?:_[LRU]|\))$"), inner).otherwise(strip(c))
+    head = F.regexp_extract(c, rf"^[{_BLANK}(]*+", 0)
+    rest = F.substr(c, F.length(head) + 1)
+    tail = F.regexp_extract(rest, rf"(?:[{_BLANK})]++|_[LRU])*+$", 0)
+    # what stands right of the first closing parenthesis that has no opening one
+    opened = F.length(head) - F.length(F.replace(head, F.lit("("), F.lit("")))
+    gone = F.call_function("substring_index", tail, F.lit(")"), (-opened - 1).cast("int"))
+    closed = F.length(gone) - F.length(F.replace(gone, F.lit(")"), F.lit("")))
+    left = F.call_function("substring_index", head, F.lit("("), (closed - opened - 1).cast("int"))
+    inner = strip(F.concat(left, F.substr(rest, F.lit(1), F.length(rest) - F.length(gone))))
+    return F.when(c.rlike(rf"(?:_[LRU]|\))[{_BLANK}]*+$"), inner).otherwise(strip(c))
 
 
 def is_untyped_bare(bare: Column) -> Column:
@@ -40,18 +45,12 @@ def is_untyped_bare(bare: Column) -> Column:
     return F.coalesce((bare == "") | F.lower(bare).isin(UNTYPED_WORDS) | bare.rlike(r"^(?:[hH][bB])?[0-9]+$"), F.lit(True))
 
 
-def _untyped_pattern() -> str:
-    """One pattern for all untyped labels: a sentinel, digits, ``hb`` and digits or nothing, within wrappers."""
-    label = rf"(?i:{'|'.join(UNTYPED_WORDS)}|(?:hb)?[0-9]+)?"
-    for _ in range(WRAPPER_DEPTH // 2):
-        label = rf"(?:{label}|\(\s*{label}\s*\))(?:\s*_[LRU])*"
-    return rf"^{label}$"
-
-
 def is_untyped(c: Column) -> Column:
     """Whether a label means "no type": null, blank, a sentinel word, all digits, or ``hb`` and digits,
-    looked at without side suffixes and enclosing parentheses (up to ``WRAPPER_DEPTH // 2`` pairs)."""
-    return F.coalesce((F.length(c) <= LONGEST_LABEL) & strip(c).rlike(_untyped_pattern()), F.lit(True))
+    looked at without side suffixes and enclosing parentheses, however many."""
+    label = rf"^[{_BLANK}(]*+(?i:{'|'.join(UNTYPED_WORDS)}|(?:hb)?[0-9]++)?+(?:[{_BLANK})]++|_[LRU])*+$"
+    pairs = F.length(F.replace(c, F.lit("("), F.lit(""))) == F.length(F.replace(c, F.lit(")"), F.lit("")))
+    return F.when(c.isNull(), True).when(c.rlike(label), pairs).otherwise(False)
 
 
 def canonical_id(c: Column) -> Column:

@@ -83,11 +83,10 @@ def sql_canonical(c: str) -> str:
 
 
 def sql_bare(c: str) -> str:
-    """DuckDB text of the bare label of column ``c``."""
+    """DuckDB text of the bare label of column ``c``: one wrapper off a step, as many steps as it has characters."""
     t = sql_strip(c)
-    for _ in range(4):
-        t = sql_strip(rf"regexp_replace({t}, '^(?:(.*)_[LRU]|\((.*)\))$', '\1\2')")
-    return t
+    step = sql_strip(r"regexp_replace(a, '^(?:(.*)_[LRU]|\((.*)\))$', '\1\2', 's')")
+    return rf"case when regexp_matches({t}, '(?:_[LRU]|\))$') then list_reduce(list_prepend({t}, list_transform(range(length({t})), lambda i: '')), lambda a, b: {step}) else {t} end"
 
 
 def sql_untyped(bare: str) -> str:
