@@ -6,9 +6,11 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from weft.functions import labels
 from weft.operators import edges as E
 from weft.operators import filters, lines, mapping, profiles, similarity, skeleton, vectors
 from weft.operators import graph as G
+from weft.operators import measures as M
 
 
 def frame(spark, rows, schema):
@@ -207,3 +209,46 @@ def test_auc_and_threshold(spark):
     assert abs(profiles.auc(df).first()[0] - want) < 1e-8
     best = profiles.youden(df).first()
     assert abs(best["j"] - max(sum(a > t for a in good) / 60 - sum(b > t for b in bad) / 60 for t in np.arange(0.5, 11.5))) < 1e-8
+
+
+def test_labels_are_stripped_until_nothing_is_left(spark):
+    rnd = random.Random(1)
+    parts = ["(", ")", "_L", "_R", " ", "\t", "nan", "Unknown", "12", "hb3", "a", "x_", "_U", " ", "None", "<na>", "hb"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9))) for _ in range(1500)] + ["(" * 20000 + "Unknown" + ")" * 20000, "a" * 90000 + ")" * 3000, "(((((((((x)_L)))_R)))))"]
+
+    def brute(v):
+        t, untyped = v.strip(), False
+        while True:
+            untyped = untyped or not t or t.lower() in labels.UNTYPED_WORDS or t.isdigit() or (t.lower().startswith("hb") and t[2:].isdigit())
+            if t.endswith(("_L", "_R", "_U")):
+                t = t[:-2].strip()
+            elif t.startswith("(") and t.endswith(")"):
+                t = t[1:-1].strip()
+            else:
+                return t, untyped
+
+    rows = spark.createDataFrame([(v,) for v in texts], "v string").select("v", labels.bare_label(F.col("v")), labels.is_untyped(F.col("v"))).collect()
+    assert [(b, u) for _, b, u in rows] == [brute(v) for v, _, _ in rows]
+
+
+def test_normalised_types_by_hand(spark):
+    own = frame(spark, [("KCg-m", "KC"), ("t4a", "T4")], "name string, target string")
+    got = frame(spark, [("T4a_R",), ("aMe12_1",), ("T4a-like",), ("KCg-m",), ("Mi1_left",), (None,), ("",)], "v string").select("v", M.normalized_type(F.col("v"), own), M.normalized_type(F.col("v"), None, sides=False, numbers=False)).collect()
+    assert [tuple(r)[1:] for r in got] == [("T4", "t4a_r"), ("ame12", "ame12_1"), ("T4", "t4a"), ("kc", "kcg-m"), ("mi", "mi1_left"), ("", ""), ("", "")]
+
+
+def test_line_classes(spark):
+    names = ["SS01", "jrc_ss2", "BJD_SS1", "LLPC3", "LC10", "LPCx", "VT1", "R1", "GMR_2", "", None, "xSS1"]
+    got = [r[0] for r in frame(spark, [(x,) for x in names], "v string").select(lines.line_class(F.col("v"))).collect()]
+    assert got == ["split_gal4"] * 6 + ["gal4_lexa"] * 6
+
+
+def test_threshold_ladder():
+    assert M.same_threshold_ladder({"a": (3, 35), "b": (1, 50)}, 5) == [3, 4, 5, 7, 11, 19, 35]
+    assert M.same_threshold_ladder({"a": (3, 3)}, 5) == [3] and M.same_threshold_ladder({"a": (1, 2), "b": (5, 9)}, 5) == [] and M.same_threshold_ladder({}, 5) == []
+
+
+def test_best_threshold_names_none_below_the_range(spark):
+    long = frame(spark, [("a", f"k{i}", float(i)) for i in range(1, 11)] + [("b", "k", 2.0)], "dataset string, key string, value double")
+    got = {r["dataset"]: tuple(r)[1:] for r in M.best_thresholds(M.threshold_curve(long, 12), 4, 0.1).collect()}
+    assert got["a"] == (7, 7, 7, 4, 0.0, "exact") and got["b"] == (None, None, None, 1, 0.75, "target_density_below_range")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: First letters of the lines of either class.
-SPLIT_PREFIXES = ["SS", "MB", "OL", "IS", "LH"]
+#: First letters of the lines of the class ``split_gal4``, compared without case.
+SPLIT_PREFIXES = ["SS", "LH", "MB", "IS", "OL", "LC", "LLPC", "LPC", "JRC_SS", "BJD_SS"]
 
 
 def line_summary(matches: DataFrame, n_queries: int) -> DataFrame:
@@ -82,5 +84,6 @@ def combined_rank(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def line_class(line: Column) -> Column:
-    """``split_gal4`` or ``gal4_lexa`` by the line's prefix."""
-    return F.when(F.upper(line).rlike(f"^(?:{'|'.join(SPLIT_PREFIXES)})[0-9]"), "split_gal4").otherwise("gal4_lexa")
+    """``split_gal4`` or ``gal4_lexa`` by the line's prefix; a null or other name is of the latter."""
+    name = F.upper(line)
+    return F.when(reduce(lambda a, b: a | b, [name.startswith(p) for p in SPLIT_PREFIXES]), "split_gal4").otherwise("gal4_lexa")

@@ -166,13 +166,13 @@ def mirror(roi: Column) -> Column:
     return F.when(roi.endswith("(L)"), F.regexp_replace(roi, r"\(L\)$", "(R)")).when(roi.endswith("(R)"), F.regexp_replace(roi, r"\(R\)$", "(L)")).otherwise(roi)
 
 
-def region_screen(counts: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+def region_screen(counts: DataFrame, queries: DataFrame, top_k: int | None = None) -> DataFrame:
     """``query, id, direct, mirrored, score, rank``: the ``top_k`` nearest region profiles, as they are and with sides swapped.
 
     ``counts`` has ``id, roi, n`` and maybe ``block`` (input or output); ``queries`` a stated set of ``id``, whose profiles
     the driver holds, as it does the names of regions. The cosines of the blocks that a query has are averaged, and the
-    larger of both means counts. Pairs without a common region are left out. Each task passes on ``top_k`` per query and batch;
-    of equal scores (9 digits) the smaller id comes first.
+    larger of both means counts. Pairs without a common region are left out. Each task passes on ``top_k`` per query and
+    batch (all if it is None); of equal scores (9 digits) the smaller id comes first.
     """
     import pyarrow as pa
 
@@ -202,7 +202,7 @@ def region_screen(counts: DataFrame, queries: DataFrame, top_k: int) -> DataFram
     blocks = sorted({b for b, _, _ in names})
     has = sum((direct[:, [i for i, n in enumerate(names) if n[0] == b]] > 0).any(axis=1).astype(float) for b in blocks)
     direct, mirrored = direct / has[:, None], mirrored / has[:, None]
-    few = max(top_k, 2_000_000 // max(1, len(own)))  # ids at a time, so that a batch of pairs stays small
+    few = max(top_k or 1, 2_000_000 // max(1, len(own)))  # ids at a time, so that a batch of pairs stays small
 
     def run(batches):
         mine = pa.array(own, pa.string())
@@ -224,7 +224,8 @@ def region_screen(counts: DataFrame, queries: DataFrame, top_k: int) -> DataFram
 
     met = spread(rows).mapInArrow(run, "query string, id string, direct double, mirrored double")
     met = met.select("query", "id", F.round("direct", 9).alias("direct"), F.round("mirrored", 9).alias("mirrored"), F.round(F.greatest("direct", "mirrored"), 9).alias("score"))
-    return top_n(met, ["query"], [F.desc("score"), F.asc("id")], top_k)
+    order = [F.desc("score"), F.asc("id")]
+    return top_n(met, ["query"], order, top_k) if top_k else met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
 
 
 def hellinger(counts: DataFrame) -> DataFrame:

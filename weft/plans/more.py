@@ -80,11 +80,15 @@ def w17_mountain(spark: SparkSession, d: str) -> DataFrame:
     return P.mountain(s, "s", "r_name")
 
 
-@R.add("select l_suppkey, case when regexp_matches(upper(case when l_suppkey % 2 = 0 then 'ss' else 'GMR' end || l_suppkey), '^(?:SS|MB|OL|IS|LH)[0-9]') then 'split_gal4' else 'gal4_lexa' end as class from (select distinct l_suppkey from lineitem)")
+_LINE_NAMES = ["ss", "LH", "mb", "IS", "OL", "LC", "LLPC", "LPC_", "JRC_SS", "bjd_ss", "VT", "R", "GMR", "L", "xSS"]
+
+
+@R.add(f"with s as (select distinct l_suppkey, ({_LINE_NAMES})[(l_suppkey % {len(_LINE_NAMES)} + 1)::int] || l_suppkey as line from lineitem) select l_suppkey, case when " + " or ".join(f"starts_with(upper(line), '{p}')" for p in lines.SPLIT_PREFIXES) + " then 'split_gal4' else 'gal4_lexa' end as class from s")
 def x24_line_class(spark: SparkSession, d: str) -> DataFrame:
     """The class of a line by its name."""
     s = table(spark, d, "lineitem").select("l_suppkey").distinct()
-    return s.select("l_suppkey", lines.line_class(F.concat(F.when(F.col("l_suppkey") % 2 == 0, "ss").otherwise("GMR"), F.col("l_suppkey"))).alias("class"))
+    name = F.element_at(F.array(*[F.lit(x) for x in _LINE_NAMES]), (F.col("l_suppkey") % len(_LINE_NAMES) + 1).cast("int"))
+    return s.select("l_suppkey", lines.line_class(F.concat(name, F.col("l_suppkey"))).alias("class"))
 
 
 @R.add("""with s as (select o_orderkey, strftime(o_orderdate, 'run_%Y%m%d_%H%M%S') as name from orders) select o_orderkey, strptime(regexp_extract(name, '([0-9]{8}_[0-9]{6})', 1), '%Y%m%d_%H%M%S') as at_time from s""")
