@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.labels import is_untyped, strip
-from weft.operators.orphans import bloom_filter, may_exist
+from weft.operators.orphans import bloom_bits, bloom_filter, may_exist
 from weft.operators.skew import hot_keys, salted_join
+from weft.session import cut
 
 #: Edits that a misspelt value may be away from its reference text; two neighbours swapped are two edits.
 MAX_EDITS = 2
@@ -165,9 +166,9 @@ def map_rows(rows: DataFrame, types: DataFrame) -> DataFrame:
     rows = rows.select("field", "row_id", "value").where(strip(F.col("value")) != "")
     types = types.where("type_id is not null")
     exact = types.select(F.col("type").alias("value"))
-    distinct = rows.groupBy("value").agg(F.lit(1).alias("__one")).select("value").join(exact, "value", "left_anti")
-    mapped = match_values(distinct, types)
-    asked = rows.where(may_exist(F.col("value"), bloom_filter(distinct, "value")))
+    distinct = cut(rows.groupBy("value").agg(F.lit(1).alias("__one")).select("value").join(exact, "value", "left_anti"))
+    mapped, bits = cut(match_values(distinct, types)), bloom_bits(distinct.count())
+    asked = rows.where(may_exist(F.col("value"), bloom_filter(distinct, "value", bits), bits))
     return salted_join(asked, mapped, ["value"], "inner", hot_keys(asked, F.col("value")), "value", F.col("row_id")).select("l.field", "l.row_id", "l.value", "r.type_id")
 
 
