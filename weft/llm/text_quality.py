@@ -25,7 +25,8 @@ KINDS = ["prose", "list", "table", "junk"]
 LENGTHS = ["n_words", "words_per_line", "mean_word_length"]
 SHARES = ["symbol_ratio", "digit_ratio", "non_ascii_ratio", "stop_line_share", "common_share", "distinct_word_share", "code_share", "number_share", "inner_symbol_ratio", "nonletter_line_share", "separator_ratio", "short_line_share", "repeated_part_share", "compression"]
 STATISTICS = ["n_chars", "n_words", "n_lines", *LENGTHS[1:], *SHARES]
-#: Documents on which the number of components is settled and started, in hash order; the fit itself sees all.
+#: Documents (an expected number: those of a share of all hashes) on which the number of components is settled and started;
+#: the fit itself sees all.
 START_DOCS = 6000
 #: Numbers of components that are compared, and starts of each.
 COMPONENTS, STARTS = (32, 48, 64, 96), 2
@@ -334,7 +335,10 @@ def classify(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", text: s
     scale = np.maximum(np.sqrt(np.maximum((np.array(moments[d + 1 :]) + (raw**2).sum(0)) / n - centre**2, 0.0)), 0.05)
     scaled = points.withColumn("x", F.array(*[(F.col("x")[i] - float(centre[i])) / float(scale[i]) for i in range(d)]))
     shown = (raw - centre) / scale
-    sample = scaled.orderBy(F.xxhash64("h")).limit(START_DOCS).select("x").toArrow()
+    # a share of all hashes, in their order, so that no task sends more than its share
+    part = min(1.0, START_DOCS / max(moments[0], 1))
+    drawn = F.pmod(F.xxhash64("h", "doc_id"), F.lit(1 << 40))
+    sample = scaled.select("x", drawn.alias("o")).where(F.col("o") < int(part * (1 << 40))).toArrow().combine_chunks().sort_by("o")
     sample = np.vstack([shown, *[_rows(b.column("x"), d) for b in sample.to_batches()]])
     model = fit_mixture(scaled, shown, start_mixture(sample))
     kind_of = component_kinds(shown, [k for k, _ in EXAMPLES], model)
