@@ -221,26 +221,29 @@ def choose(members: DataFrame, fits: list[tuple[str, np.ndarray, list[np.ndarray
     rated = rated.withColumns({"u": (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) + 0.5) / float(1 << 40), "g": F.floor("rate"), "f": F.col("rate") - F.floor("rate")})
     rated = rated.withColumn("k", F.concat_ws("\x01", "mix_name", F.coalesce("source", F.lit("\x02")), F.col("g").cast("string")))
     wanted = F.sum(F.col("f") * F.col("n_tokens"))
-    # what is broadcast has as many rows as mixes times sources times whole parts up to the caps (times levels), by the table of targets
-    goal = rated.groupBy("k").agg(wanted.alias("all_wanted"), F.avg("f").alias("mean_f"))
-    sized = rated.join(F.broadcast(goal), "k")
+    # the driver holds and broadcasts goals only: as many as mixes times sources times whole parts up to the caps (times levels)
+    spark, rated = members.sparkSession, cut(rated)
+    goal = rated.groupBy("k").agg(wanted.alias("all_wanted"), F.avg("f").alias("mean_f")).collect()
+    sized = rated.join(F.broadcast(spark.createDataFrame(goal, "k string, all_wanted double, mean_f double")), "k")
     sized = sized.withColumn("level", sum((F.when(F.col("n_tokens") * part <= F.col("all_wanted"), 1).otherwise(0) for part in LEVELS), F.lit(0)))
     odds = lambda x: (F.lit(1.0) - x) / F.greatest(x, F.lit(1e-12))
     q = F.col("u") / (1 - F.col("u")) * odds(F.col("f")) / F.greatest(odds(F.col("mean_f")), F.lit(1e-12))
-    sized = cut(sized.withColumn("t", F.when(F.col("f") > 0, q / (1 + q)).otherwise(1.0)).drop("u", "mean_f", "rate", "all_wanted"))
-    aims = sized.groupBy("k", "level").agg(wanted.alias("wanted"))
-    done, over = [], None
+    sized = sized.withColumn("t", F.when(F.col("f") > 0, q / (1 + q)).otherwise(1.0)).drop("u", "mean_f", "rate", "all_wanted")
+    aims = {(r["k"], r["level"]): r["wanted"] for r in sized.groupBy("k", "level").agg(wanted.alias("wanted")).collect()}
+    # what larger documents are over or under; a group without documents of a level passes it on
+    done, over = [], {r["k"]: 0.0 for r in goal}
     for level in range(len(LEVELS) + 1):
-        here = aims.where(F.col("level") == level).select("k", "wanted")
-        # what larger documents are over or under; a group without documents of this level passes it on
-        if over is not None:
-            here = here.unionByName(over).groupBy("k").agg(F.sum("wanted").alias("wanted"))
-        one = _first_in_order(sized.where(F.col("level") == level).drop("level").join(F.broadcast(here), "k"))
+        here = {k: aims.get((k, level), 0.0) + more for k, more in over.items()}
+        if not here:
+            break
+        one = _first_in_order(sized.where(F.col("level") == level).drop("level").join(F.broadcast(spark.createDataFrame(list(here.items()), "k string, wanted double")), "k"))
         if level < len(LEVELS):
             one = cut(one)
-            used = one.groupBy("k").agg(F.sum(-F.col("extra") * F.col("n_tokens")).alias("wanted"))
-            over = here.unionByName(used).groupBy("k").agg(F.sum("wanted").alias("wanted"))
+            used = {r["k"]: r["used"] for r in one.groupBy("k").agg(F.sum(F.col("extra") * F.col("n_tokens")).alias("used")).collect()}
+            over = {k: v - (used.get(k) or 0) for k, v in here.items()}
         done.append(one)
+    if not done:
+        return rated.limit(0).select("mix_name", "doc_id", "source", "n_tokens", "m", F.lit(0).alias("repeats"))
     both = reduce(DataFrame.unionByName, done)
     return both.select("mix_name", "doc_id", "source", "n_tokens", "m", (F.col("g") + F.col("extra")).cast("int").alias("repeats")).where("repeats > 0")
 
