@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators import tiles
+
 #: First letters of the lines of the class ``split_gal4``, compared without case.
 SPLIT_PREFIXES = ["SS", "LH", "MB", "IS", "OL", "LC", "LLPC", "LPC", "JRC_SS", "BJD_SS"]
 
@@ -49,20 +51,84 @@ def mutual_information(matches: DataFrame) -> DataFrame:
     return j.agg(F.round(F.coalesce(F.sum(F.col("n") / F.col("t") * F.log2(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))), F.lit(0.0)), 9).alias("information"))
 
 
+def _packed_lines(matches: DataFrame) -> DataFrame:
+    best = matches.where("line is not null").groupBy(F.col("line").alias("entity"), "type").agg(F.max("score").cast("double").alias("s"))
+    return tiles.pack(best, "type", ["s"], {"n": F.count(F.lit(1)), "t": F.sum("s")})
+
+
+def _weighted(t: tiles.Tiles, tile: tuple) -> tuple:
+    """How many types the lines of a tile share, and their weighted Jaccard similarity (NaN if undefined)."""
+    import numpy as np
+
+    size = (tile[1] - tile[0], tile[3] - tile[2])
+    shared, low, unknown = np.zeros(size), np.zeros(size), np.zeros(size)
+    least = min([0.0, *(np.nanmin(f[0]) for f in t.flat if np.isfinite(f[0]).any())])
+    for (xa, sa), (xb, sb) in t.parts(tile):
+        shared += xa.T @ xb
+        if np.isnan(sa).any() or np.isnan(sb).any():  # the smaller of a score and none is the score
+            unknown += np.isnan(sa).astype(float).T @ np.isnan(sb)
+            for k in range(len(sa)):
+                low += np.nan_to_num(np.where(xa[k][:, None] * xb[k] > 0, np.fmin(sa[k][:, None], sb[k]), 0.0))
+        elif least < 0:  # so that a type that a line lacks does not count as the smaller score
+            tiles.least_sums(sa - least * xa, sb - least * xb, low)
+            low += least * (xa.T @ xb)
+        else:
+            tiles.least_sums(sa, sb, low)
+    low[(unknown > 0) & (unknown == shared)] = np.nan
+    high = t.a.fact("t")[tile[0] : tile[1], None] + t.b.fact("t")[None, tile[2] : tile[3]] - low
+    high[high == 0] = np.nan
+    return shared, np.divide(low, high, out=high)
+
+
+def _later(t: tiles.Tiles, tile: tuple, shared) -> None:
+    """Leaves each pair of a block with itself out of ``shared`` but for once."""
+    import numpy as np
+
+    if t.a.size and t.b.size and t.a.names[0] == t.b.names[0]:
+        shared[np.arange(tile[0], tile[1])[:, None] >= np.arange(tile[2], tile[3])] = 0
+
+
 def colabelling(matches: DataFrame) -> DataFrame:
     """``l1, l2, shared, jaccard, weighted_jaccard`` of the lines that share a type, by best score per type."""
-    best = matches.groupBy("line", "type").agg(F.max("score").alias("s"))
-    side = best.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("t"))
-    a, b = best.select(F.col("line").alias("l1"), "type", F.col("s").alias("x")), best.select(F.col("line").alias("l2"), "type", F.col("s").alias("y"))
-    met = a.join(b, "type").where("l1 < l2").groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.least("x", "y")).alias("low"))
-    j = met.join(side.select(F.col("line").alias("l1"), F.col("n").alias("n1"), F.col("t").alias("t1")), "l1").join(side.select(F.col("line").alias("l2"), F.col("n").alias("n2"), F.col("t").alias("t2")), "l2")
-    return j.select("l1", "l2", "shared", F.round(F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared")), 9).alias("jaccard"), F.round(F.col("low") / F.nullif(F.col("t1") + F.col("t2") - F.col("low"), F.lit(0.0)), 9).alias("weighted_jaccard"))
 
+    def work(a: tiles.Side, b: tiles.Side):
+        import numpy as np
+        import pyarrow as pa
+
+        t = tiles.Tiles(a, b, "type", ["s"])
+        names, before = pa.array([*a.names, *b.names], pa.string()), np.searchsorted(b.names, a.names)
+        for tile in t.bounds():
+            shared, weighted = _weighted(t, tile)
+            _later(t, tile, shared)
+            i, j = np.nonzero(shared)
+            if not len(i):
+                continue
+            n, w = shared[i, j], weighted[i, j]
+            i, j = i + tile[0], j + tile[2]
+            turned, other = j < before[i], j + a.size
+            jaccard = n / (a.fact("n")[i] + b.fact("n")[j] - n)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.where(turned, other, i))), names.take(pa.array(np.where(turned, i, other))), pa.array(n.astype(np.int64)), pa.array(tiles.nine(jaccard) / 1e9), pa.array(tiles.nine(w) / 1e9, from_pandas=True)], ["l1", "l2", "shared", "jaccard", "weighted_jaccard"])
+
+    return tiles.run(tiles.triangle(_packed_lines(matches)), work, "l1 string, l2 string, shared bigint, jaccard double, weighted_jaccard double")
+
+
+def sparsity(matches: DataFrame, threshold: float, n_lines: int) -> DataFrame:
+    """``sparsity``: the share of all pairs of ``n_lines`` lines whose weighted Jaccard similarity exceeds the threshold."""
+
+    def work(a: tiles.Side, b: tiles.Side):
+        import numpy as np
+        import pyarrow as pa
+
+        t, n = tiles.Tiles(a, b, "type", ["s"]), 0
+        for tile in t.bounds():
+            shared, weighted = _weighted(t, tile)
+            _later(t, tile, shared)
+            n += int(np.count_nonzero((shared > 0) & (weighted > threshold)))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-def sparsity(similar: DataFrame, column: str, threshold: float, n_lines: int) -> DataFrame:
-    """``sparsity``: the share of all pairs of ``n_lines`` lines that exceed the threshold."""
     pairs = max(n_lines * (n_lines - 1) // 2, 1)
-    return similar.agg(F.round(F.count_if(F.col(column) > threshold) / F.lit(pairs), 9).alias("sparsity"))
+    alike = tiles.run(tiles.triangle(_packed_lines(matches)), work, "n bigint")
+    return alike.agg(F.round(F.coalesce(F.sum("n"), F.lit(0)) / F.lit(pairs), 9).alias("sparsity"))
 
 
 def combined_rank(one: DataFrame, two: DataFrame) -> DataFrame:

@@ -264,7 +264,7 @@ def a20_colabelling(spark: SparkSession, d: str) -> DataFrame:
 select round(count(*) filter (low / (x.t + y.t - low) > 0.9) / ((select count(*) from supplier) * ((select count(*) from supplier) - 1) / 2), 9) as sparsity from m join u x on l1 = x.line join u y on l2 = y.line""")
 def a21_sparsity(spark: SparkSession, d: str) -> DataFrame:
     """How many pairs of lines are alike."""
-    return lines.sparsity(lines.colabelling(V.matches(spark, d)), "weighted_jaccard", 0.9, table(spark, d, "supplier").count())
+    return lines.sparsity(V.matches(spark, d), 0.9, table(spark, d, "supplier").count())
 
 
 @R.add(f"with {V.NATION_EDGES}, p as (select dataset, pre || '->' || post as key, sum(weight)::double as value from nation_edges group by 1, 2) select key, round(avg(value), 9) as mean, round(stddev_pop(value), 9) as sd, round(stddev_pop(value) / avg(value), 9) as cv, max(value) - min(value) as range from p group by 1")
