@@ -4,11 +4,13 @@ import itertools
 import os
 import random
 import re
+import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from weft.operators import lines, tiles
+from weft.operators import lines, profiles, tiles
 
 DATA = "/root/testdata/sf0.001"
 
@@ -60,3 +62,63 @@ def test_sparsity_counts_what_only_just_exceeds(spark):
 def test_no_pairs_of_lines_are_shuffled(spark, name):
     kinds = exchanges(entry.queries()[name](spark, DATA))
     assert not [k for k in kinds if k.startswith(("hashpartitioning(type", "hashpartitioning(l1", "hashpartitioning(l2"))]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
+@pytest.mark.parametrize("name", ["j19_mutual_best", "e16_pooled", "w14_own_windows", "m39_null_baseline"])
+def test_no_pairs_of_entities_are_shuffled(spark, name):
+    kinds = exchanges(entry.queries()[name](spark, DATA))
+    assert not [k for k in kinds if k.startswith(("hashpartitioning(partner", "hashpartitioning(source", "hashpartitioning(target", "hashpartitioning(query"))]
+
+
+def small_tiles(monkeypatch):
+    for name, n in (("TILE_ROWS", 3), ("TILE", 12), ("TILE_KEYS", 2)):
+        monkeypatch.setattr(tiles, name, n)
+
+
+def odd_profiles(spark, seed):
+    rng = random.Random(seed)
+    rows = {(f"{rng.randrange(30)}", rng.choice([None, *(f"p{i}" for i in range(9))])): float(rng.randrange(-1, 5)) for _ in range(160)} | {("100", "p1"): 2.0, ("200", "p1"): 2.0, ("300", "alone"): 1.0}
+    return spark.createDataFrame([(*k, v) for k, v in rows.items()], "entity string, partner string, weight double")
+
+
+def chain(r):
+    return (-r["jaccard"], r["rank_union"] is None, -(r["rank_union"] or 0))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_nearest_and_windows_agree_with_scores_of_all_pairs(spark, monkeypatch, seed):
+    small_tiles(monkeypatch)
+    p = odd_profiles(spark, seed)
+    pairs = [r for r in profiles.score_pairs(p, p).collect() if r["source"] != r["target"]]
+    own = {}
+    for r in pairs:
+        own.setdefault(r["source"], []).append(r)
+    got = {r["entity"]: r for r in profiles.nearest(p).collect()}
+    assert got.keys() == own.keys()
+    for e, rows in own.items():
+        top = min(map(chain, rows))
+        best = sorted(r["target"] for r in rows if chain(r) == top)
+        assert (got[e]["n"], got[e]["first"], got[e]["last"]) == (len(rows), best[0], best[-1])
+        assert chain(got[e]) == top
+    assert {(r["source"], r["target"]) for r in profiles.mutual_best(p).collect()} == {(e, r["first"]) for e, r in got.items() if got[r["first"]]["first"] == e}
+    windows = spark.createDataFrame([(e, int(e) % 7) for e in own if e != "200"], "entity string, window int")
+    want = {(e, r["target"], i) for e, rows in own.items() if e != "200" and int(e) % 2 == 0 for i, r in enumerate(sorted(rows, key=lambda r: (*chain(r), r["target"])), 1) if i <= int(e) % 7}
+    assert {tuple(r) for r in profiles.best_places(p, F.col("entity").cast("int") % 2 == 0, windows).collect()} == want
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_null_baseline_agrees_with_scores_of_all_pairs(spark, monkeypatch, seed):
+    small_tiles(monkeypatch)
+    p = odd_profiles(spark, seed)
+    own = {}
+    for r in profiles.score_pairs(p, p).collect():
+        if r["source"] != r["target"]:
+            own.setdefault(r["source"], []).append((r["target"], r["weighted_jaccard"]))
+    got = {(r["query"], r["id"]): tuple(r)[2:] for r in profiles.null_baseline(p, F.col("entity").cast("int") % 2 == 0, F.col("entity").cast("int") % 2 == 1, 0.5).collect()}
+    assert got.keys() == {(e, t) for e, rows in own.items() if int(e) % 2 == 0 for t, _ in rows}
+    for (e, t), (score, z, qualified) in got.items():
+        base = [s for i, s in own[e] if int(i) % 2 == 1]
+        spread = statistics.stdev(base) if len(base) > 1 else 0
+        want = (dict(own[e])[t] - statistics.fmean(base)) / spread if spread else None
+        assert near(score, dict(own[e])[t]) and (z == want or abs(z - want) < 1e-6) and qualified == (want is not None and want >= 0.5)

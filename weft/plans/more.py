@@ -10,7 +10,7 @@ from weft.operators import filters, lines
 from weft.operators import graph as G
 from weft.operators import profiles as P
 from weft.plans import views as V
-from weft.plans.compare import _ALL_SCORES, _all_scores
+from weft.plans.compare import _ALL_SCORES
 from weft.plans.core_problems import SQL_CURRENT
 from weft.plans.graphs import _EDGES, _PATHS, _SRC, _TGT, SOURCES, TARGETS, _ends, _network
 from weft.plans.registry import Registry
@@ -63,7 +63,7 @@ def a24_two_hop(spark: SparkSession, d: str) -> DataFrame:
 @R.add(f"with {_ALL_SCORES}, s as (select * from scores where source <> target) select target, count(distinct source) as n_sources, (select source from s t where t.target = s.target order by jaccard desc, coalesce(rank_union, -2) desc, source desc limit 1) as best_source, max(jaccard) as jaccard from s group by target")
 def e16_pooled(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of all sources pooled by target."""
-    return P.pooled(_all_scores(spark, d).where("source <> target"))
+    return P.pooled(V.profiles(spark, d))
 
 
 @R.add(f"with {V.PROFILES}, v as (select distinct p_brand as b from part where p_brand in ('Brand#11', 'Brand#12', 'Brand#13')) select entity, round(coalesce(sum(weight) filter (partner = 'Brand#11'), 0), 6) as v1, round(coalesce(sum(weight) filter (partner = 'Brand#12'), 0), 6) as v2, round(coalesce(sum(weight) filter (partner = 'Brand#13'), 0), 6) as v3 from profiles group by 1")
