@@ -232,10 +232,3 @@ def hellinger(counts: DataFrame) -> DataFrame:
     """``id, roi, h``: the square root of each region's share."""
     total = counts.groupBy("id").agg(F.sum("n").alias("t"))
     return counts.groupBy("id", "roi").agg(F.sum("n").alias("n")).join(total, "id").where("t > 0").select("id", "roi", F.round(F.sqrt(F.col("n") / F.col("t")), 9).alias("h"))
-
-
-def null_qualified(scores: DataFrame, null_scores: DataFrame, bar: float) -> DataFrame:
-    """``scores`` (``query, id, score``) with ``z`` against the query's null scores and whether it reaches ``bar``."""
-    base = null_scores.groupBy("query").agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("sd"))
-    z = (F.col("score") - F.col("m")) / F.nullif("sd", F.lit(0.0))
-    return scores.join(base, "query", "left").select("query", "id", "score", F.round(z, 9).alias("z"), F.coalesce(z >= bar, F.lit(False)).alias("qualified"))
