@@ -78,24 +78,30 @@ def widest(edges: DataFrame, targets: DataFrame, bound: int) -> DataFrame:
     return out
 
 
-def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, bound: int, pruned: bool = False) -> DataFrame:
+def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, bound: int, pruned: bool = False, carry: str | None = None) -> DataFrame:
     """``path, weights, bottleneck`` of all paths of 1 to ``bound`` hops that visit no node twice.
 
     They start at ``sources.node`` and end at ``targets.node`` and may pass through other sources and targets.
-    A prefix is only extended to nodes from which a target is still within reach.
+    A prefix is only extended to nodes from which a target is still within reach. The paths of ``bound`` hops, by far the
+    most, are not materialised. ``carry``, a column of edges that are unique, is gathered along each path as ``carried``.
     """
     kept = edges if pruned else cut(cone(edges, sources, targets, bound))
     reach = hops(kept, targets, bound, backward=True).select(F.col("node").alias("post"), "dist")
-    step = cut(kept.groupBy("pre", "post").agg(F.sum("weight").alias("weight")).join(reach, "post"))
-    front = sources.select("node").distinct().select(F.array("node").alias("path"), F.expr("cast(array() as array<double>)").alias("weights"))
+    extra = [F.first(carry).alias("__c")] if carry else []
+    step = cut(kept.groupBy("pre", "post").agg(F.sum("weight").alias("weight"), *extra).join(reach, "post"))
+    lists = {"weights": "weight", **({"carried": "__c"} if carry else {})}
+    front = sources.select("node").distinct().select(F.array("node").alias("path"), *[F.expr("cast(array() as array<double>)").alias(c) for c in lists])
     ends = targets.select(F.col("node").alias("__end")).distinct()
     out = None
     for i in range(1, bound + 1):
         grown = front.join(step, F.element_at("path", -1) == F.col("pre")).where(~F.array_contains("path", F.col("post")) & (F.col("dist") + i <= bound))
-        front = cut(grown.select(F.array_append("path", F.col("post")).alias("path"), F.array_append("weights", F.col("weight").cast("double")).alias("weights")))
-        done = front.join(ends, F.element_at("path", -1) == F.col("__end"), "left_semi")
+        front = grown.select(F.array_append("path", F.col("post")).alias("path"), *[F.array_append(c, F.col(x).cast("double")).alias(c) for c, x in lists.items()])
+        if i < bound:
+            front = cut(front)
+        # a path of all hops has come to a target
+        done = front.join(ends, F.element_at("path", -1) == F.col("__end"), "left_semi") if i < bound else front
         out = done if out is None else out.unionByName(done)
-        if front.isEmpty():
+        if i < bound and front.isEmpty():
             break
     return out.withColumn("bottleneck", F.array_min("weights"))
 
@@ -208,19 +214,16 @@ def edge_budget(edges: DataFrame, sources: DataFrame, targets: DataFrame, bound:
     return best if best else (edges.limit(0), None)
 
 
-def path_table(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """``source, target, path, hops, weights, ratios, min_weight, min_ratio``: each path with what its hops carry.
+def path_table(edges: DataFrame, sources: DataFrame, targets: DataFrame, bound: int) -> DataFrame:
+    """``source, target, path, hops, weights, ratios, min_weight, min_ratio``: each simple path with what its hops carry.
 
-    ``edges`` has ``pre, post, weight, ratio``. Hops without an edge count as weight 0; paths with such a hop are
-    dropped. Paths are numbered by their text.
+    ``edges`` has ``pre, post, weight, ratio``, each pair once. Paths with a hop of weight 0 or less are dropped. What hops
+    carry is gathered while paths grow, so paths are neither taken apart nor joined with edges again.
     """
-    key = paths.select("path").distinct().withColumn("text", F.array_join("path", "->"))
-    nodes = key.select("text", F.posexplode("path").alias("pos", "pre"))
-    pairs = nodes.withColumn("post", F.lead("pre").over(Window.partitionBy("text").orderBy("pos"))).where("post is not null")
-    met = pairs.join(edges.select("pre", "post", "weight", "ratio"), ["pre", "post"], "left")
-    rows = met.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("weight", F.lit(0)).alias("w"), F.coalesce("ratio", F.lit(0.0)).alias("r")))).alias("h"))
-    rows = rows.withColumns({"weights": F.transform("h", lambda x: x["w"]), "ratios": F.transform("h", lambda x: x["r"])}).withColumns({"min_weight": F.array_min("weights"), "min_ratio": F.array_min("ratios"), "hops": F.size("weights")}).where("min_weight > 0")
-    return rows.select(F.element_at(F.split("text", "->"), 1).alias("source"), F.element_at(F.split("text", "->"), -1).alias("target"), F.col("text").alias("path"), "hops", "weights", "ratios", "min_weight", "min_ratio")
+    paths = simple_paths(edges, sources, targets, bound, carry="ratio").withColumnRenamed("carried", "ratios")
+    ratios = F.transform("ratios", lambda r: F.coalesce(r, F.lit(0.0)))
+    rows = paths.where("bottleneck > 0").withColumns({"ratios": ratios, "source": F.element_at("path", 1), "target": F.element_at("path", -1), "hops": F.size("weights"), "min_weight": F.col("bottleneck").cast("bigint")})
+    return rows.select("source", "target", F.array_join("path", "->").alias("path"), "hops", "weights", "ratios", "min_weight", F.array_min("ratios").alias("min_ratio"))
 
 
 def label_paths(paths: DataFrame, labels: DataFrame) -> DataFrame:

@@ -100,9 +100,8 @@ h as (select id, path, path[i] as a, path[i + 1] as b from k, unnest(range(1, le
 select path[1] as source, path[-1] as target, array_to_string(path, '->') as path, count(*)::int as hops, min(weight)::bigint as min_weight, round(min(r), 9) as min_ratio from j group by id, j.path""")
 def g32_path_table(spark: SparkSession, d: str) -> DataFrame:
     """Paths with what their hops carry."""
-    ratio = E.with_ratio(V.type_edges(spark, d))
-    paths = G.simple_paths(_network(spark, d), _ends(spark, d, SOURCES), _ends(spark, d, TARGETS), 3)
-    return G.path_table(paths, ratio).select("source", "target", "path", "hops", "min_weight", F.round("min_ratio", 9).alias("min_ratio"))
+    ratio = cut(E.with_ratio(V.type_edges(spark, d)).where(F.col("pre") != F.col("post")))
+    return G.path_table(ratio, _ends(spark, d, SOURCES), _ends(spark, d, TARGETS), 3).select("source", "target", "path", "hops", "min_weight", F.round("min_ratio", 9).alias("min_ratio"))
 
 
 @R.add(f"""{_STEP}, {_PATHS}, k as (select path, w from p where path[-1] in (select node from {_TGT})) select path[1] as source, path[-1] as target, count(*) as n_paths, min(len(path) - 1)::int as least_hops, max(w)::double as best from k group by 1, 2""")
