@@ -4,7 +4,7 @@ import random
 import re
 from collections import defaultdict
 
-from weft.operators import mapping
+from weft.operators import graph, mapping
 
 
 def exchanges(df):
@@ -42,6 +42,15 @@ def test_expanded_profiles_sum_without_a_shuffle_of_them(spark):
         for t in n.get(p, [p]):
             want[e, t] += w / len(n.get(p, [p]))
     df = mapping.expand_profile(spark.createDataFrame(profile, "entity string, partner string, weight double"), spark.createDataFrame(walk, "source_name string, target_name string"))
+    kinds = exchanges(df)
     rows = df.collect()
     assert len(rows) == len(want) and all(abs(want[r["entity"], r["partner"]] - r["weight"]) < 1e-9 for r in rows)
-    assert len([e for e in exchanges(df) if re.match(r"hashpartitioning\(entity\S* (partner|coalesce)", e)]) <= 1  # of names that are unmapped too
+    assert len([e for e in kinds if re.match(r"hashpartitioning\(entity\S* (partner|coalesce)", e)]) <= 1  # of names that are unmapped too
+
+
+def test_path_table_takes_no_path_apart(spark):
+    edges = spark.createDataFrame([("s", "a", 4, 0.5), ("s", "t", 1, 0.25), ("a", "t", 3, 0.75), ("a", "s", 2, 1.0), ("t", "a", 9, 0.5)], "pre string, post string, weight long, ratio double")
+    one = lambda n: spark.createDataFrame([(n,)], "node string")
+    df = graph.path_table(edges, one("s"), one("t"), 3)
+    assert not [e for e in exchanges(df) if "text" in e]
+    assert sorted((r["path"], r["hops"], r["min_weight"], r["min_ratio"]) for r in df.collect()) == [("s->a->t", 2, 3, 0.5), ("s->t", 1, 1, 0.25)]
