@@ -71,6 +71,40 @@ def test_no_pairs_of_entities_are_shuffled(spark, name):
     assert not [k for k in kinds if k.startswith(("hashpartitioning(partner", "hashpartitioning(source", "hashpartitioning(target", "hashpartitioning(query"))]
 
 
+def shuffled_rows(spark, make):
+    """The rows of a query, and how many rows its stages wrote to shuffles where no join is small enough to broadcast."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def so_far():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        jvm = spark.sparkContext._gateway
+        stages = sc.statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before, limit = so_far(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = make().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    return rows, sum(n for s, n in so_far().items() if s not in before)
+
+
+@pytest.fixture(scope="module")
+def alike(spark, tmp_path_factory):
+    """Tables of 300 suppliers that all deliver one brand, and each of them one of five others."""
+    d = str(tmp_path_factory.mktemp("alike"))
+    spark.createDataFrame([(i, p, 1.0 + i % 7, 100.0 + i, "A") for i in range(300) for p in (0, 1 + i % 5)], "l_suppkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, l_returnflag string").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(p, f"Brand#{p}") for p in range(6)], "p_partkey bigint, p_brand string").write.parquet(f"{d}/part.parquet")
+    return d
+
+
+def test_pooled_shuffles_far_fewer_rows_than_pairs(spark, alike):
+    rows, n = shuffled_rows(spark, lambda: entry.queries()["e16_pooled"](spark, alike))
+    assert len(rows) == 300 and {r["n_sources"] for r in rows} == {299} and {r["jaccard"] for r in rows} == {1.0}
+    assert 0 < n < 300 * 299 / 2 / 4
+
+
 def small_tiles(monkeypatch):
     for name, n in (("TILE_ROWS", 3), ("TILE", 12), ("TILE_KEYS", 2)):
         monkeypatch.setattr(tiles, name, n)
