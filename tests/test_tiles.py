@@ -5,6 +5,7 @@ import os
 import random
 import re
 import statistics
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,29 @@ def test_pooled_shuffles_far_fewer_rows_than_pairs(spark, alike):
     assert 0 < n < 300 * 299 / 2 / 4
 
 
+def test_colabelling_shuffles_far_fewer_rows_than_pairs(spark, alike):
+    rows, n = shuffled_rows(spark, lambda: entry.queries()["a20_colabelling"](spark, alike))
+    assert len(rows) == 300 * 299 / 2 and all(r["l1"] < r["l2"] for r in rows)
+    assert 0 < n < len(rows) / 4
+
+
+def test_next_batch_is_made_while_one_is_passed_on():
+    made = [threading.Event() for _ in range(3)]
+
+    def batches():
+        for i, m in enumerate(made):
+            m.set()
+            yield i
+        raise ValueError("in the work")
+
+    seen = []
+    with pytest.raises(ValueError, match="in the work"):
+        for i in tiles.ahead(batches()):
+            seen.append(i)
+            assert i == 2 or made[i + 1].wait(30)
+    assert seen == [0, 1, 2]
+
+
 def small_tiles(monkeypatch):
     for name, n in (("TILE_ROWS", 3), ("TILE", 12), ("TILE_KEYS", 2)):
         monkeypatch.setattr(tiles, name, n)

@@ -109,7 +109,7 @@ def colabelling(matches: DataFrame) -> DataFrame:
             jaccard = n / (a.fact("n")[i] + b.fact("n")[j] - n)
             yield pa.RecordBatch.from_arrays([names.take(pa.array(np.where(turned, other, i))), names.take(pa.array(np.where(turned, i, other))), pa.array(n.astype(np.int64)), pa.array(tiles.nine(jaccard) / 1e9), pa.array(tiles.nine(w) / 1e9, from_pandas=True)], ["l1", "l2", "shared", "jaccard", "weighted_jaccard"])
 
-    return tiles.run(tiles.triangle(_packed_lines(matches)), work, "l1 string, l2 string, shared bigint, jaccard double, weighted_jaccard double")
+    return tiles.run(tiles.triangle(_packed_lines(matches)), lambda a, b: tiles.ahead(work(a, b)), "l1 string, l2 string, shared bigint, jaccard double, weighted_jaccard double")
 
 
 def sparsity(matches: DataFrame, threshold: float, n_lines: int) -> DataFrame:
